@@ -50,6 +50,13 @@ def line_ids(text: Column) -> Column:
     return F.transform(F.split(text, "\n", -1), line_id)
 
 
+def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Joins on ``source`` so that null meets null; the right side's own column goes."""
+    r = right.withColumnRenamed("source", "__source")
+    out = left.join(r, left["source"].eqNullSafe(r["__source"]), how)
+    return out.drop("__source")
+
+
 def needed(docs: DataFrame, source: str) -> DataFrame:
     """The least number of articles for each source."""
     n = docs.groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n"))
@@ -59,9 +66,9 @@ def needed(docs: DataFrame, source: str) -> DataFrame:
 def _first_symbols(lines: DataFrame, least: DataFrame) -> DataFrame:
     once = lines.select("source", F.explode(F.array_distinct(F.filter("ids", lambda x: x.isNotNull()))).alias("id"))
     counted = once.groupBy("source", "id").agg(F.count(F.lit(1)).alias("n")).filter(f"n >= {MIN_ARTICLES}")
-    kept = counted.join(least, counted.source.eqNullSafe(least.source)).filter("n >= least")
+    kept = by_source(counted, least).filter("n >= least")
     # One row a source: of its lines, each in at least MIN_SHARE of the articles, there are at most lines-per-article / MIN_SHARE.
-    return kept.groupBy(counted.source, "least").agg(F.collect_set("id").alias("first"))
+    return kept.groupBy("source", "least").agg(F.collect_set("id").alias("first"))
 
 
 def _common(a: tuple, b: tuple) -> int:
@@ -150,8 +157,8 @@ class RepeatedLines:
         self.kind = docs.schema[source].dataType.simpleString()
         lines = scratch.keep(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), line_ids(F.col(text)).alias("ids")).filter("ids is not null"))
         first = _first_symbols(lines, needed(docs, source))
-        marked = lines.join(first, lines.source.eqNullSafe(first.source)).select(
-            "doc", lines.source, "least", F.transform("ids", lambda x: F.when(x.isNull(), None).when(F.array_contains("first", F.coalesce(x, F.lit(0))), x).otherwise(F.lit(0))).alias("hit")
+        marked = by_source(lines, first).select(
+            "doc", "source", "least", F.transform("ids", lambda x: F.when(x.isNull(), None).when(F.array_contains("first", F.coalesce(x, F.lit(0))), x).otherwise(F.lit(0))).alias("hit")
         )
         self.marked = scratch.keep(marked.filter(F.exists("hit", lambda x: x != 0)))
         scratch.drop(lines)
@@ -173,21 +180,23 @@ class RepeatedLines:
 
     def lines(self) -> DataFrame:
         """doc, line_no of every covered line, numbered from 1."""
-        c, m = self.covered(), self.marked
-        hit = m.join(c, m.source.eqNullSafe(c.source)).select("doc", F.posexplode("hit").alias("i", "id"), "covered")
+        hit = by_source(self.marked, self.covered()).select("doc", F.posexplode("hit").alias("i", "id"), "covered")
         return hit.filter("id != 0 and array_contains(covered, id)").select("doc", (F.col("i") + 1).cast("int").alias("line_no"))
 
-    def report(self, texts: bool = False) -> DataFrame:
+    def report(self) -> DataFrame:
         """Blocks of two and more lines that no longer block with as many articles extends to the right."""
-        longer = self.blocks.select(F.col("source").alias("s"), F.expr("slice(block, 1, size(block) - 1)").alias("b"), F.col("articles").alias("a"))
+        longer = self.blocks.select(F.col("source").alias("__s"), F.expr("slice(block, 1, size(block) - 1)").alias("__b"), F.col("articles").alias("__a"))
         b = self.blocks.filter("size(block) >= 2")
-        return b.join(longer, b.source.eqNullSafe(longer.s) & (b.block == longer.b) & (b.articles == longer.a), "left_anti").select(F.col("source").alias(self.source), F.transform("block", lambda x: F.hex(x)).alias("block_ids"), F.size("block").alias("block_lines"), "articles")
+        maximal = b.join(longer, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b")) & (F.col("articles") == F.col("__a")), "left_anti")
+        return maximal.select(F.col("source").alias(self.source), F.transform("block", lambda x: F.hex(x)).alias("block_ids"), F.size("block").alias("block_lines"), "articles")
 
     def cleaned(self) -> DataFrame:
         """Every document without its covered lines, with their number; the other lines stay byte by byte."""
-        c, d = self.covered(), self.docs
-        left = d.join(c, d[self.source].eqNullSafe(c.source), "left")
-        keep = F.filter(F.split(F.col(self.text), "\n", -1), lambda x: ~F.coalesce(F.array_contains("covered", F.coalesce(line_id(x), F.lit(0))), F.lit(False)))
-        rest = F.when(F.col("covered").isNull(), F.col(self.text)).otherwise(F.array_join(keep, "\n"))
-        out = left.select(*[d[x] for x in self.docs.columns if x != self.text], rest.alias(self.text), F.when(F.col("covered").isNull(), F.lit(0)).otherwise(F.size(F.split(F.col(self.text), "\n", -1)) - F.size(keep)).alias("lines_removed"))
-        return out
+        mine = [f"`{x}`" for x in self.docs.columns if x != self.text]
+        c = self.covered().withColumnRenamed("source", "__source").withColumnRenamed("covered", "__covered")
+        left = self.docs.join(c, self.docs[self.source].eqNullSafe(c["__source"]), "left")
+        lines = F.split(F.col(f"`{self.text}`"), "\n", -1)
+        keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__covered", F.coalesce(line_id(x), F.lit(0))), F.lit(False)))
+        rest = F.when(F.col("__covered").isNull(), F.col(f"`{self.text}`")).otherwise(F.array_join(keep, "\n"))
+        removed = F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(keep))
+        return left.select(*mine, rest.alias(self.text), removed.alias("lines_removed"))
