@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import components, repeated_lines
+from tidemill.llm import components, repeated_lines, residue
 from tidemill.session import table
 
 
@@ -31,4 +31,12 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return components.all_event_groups(table(spark, d, "deduplication_reviews"), table(spark, d, "articles"), table(spark, d, "article_digests"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.Residue(table(spark, d, "article_texts"), table(spark, d, "articles")).cases().select(F.col("doc").alias("article_id"))
+
+
+def p7_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return residue.Residue(table(spark, d, "article_texts"), table(spark, d, "articles")).validation()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p7_found, p7_unseen_hosts)}
