@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import components, repeated_lines, residue
+from tidemill.llm import boilerplate, components, repeated_lines, residue
 from tidemill.session import table
 
 
@@ -39,4 +39,21 @@ def p7_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
     return residue.Residue(table(spark, d, "article_texts"), table(spark, d, "articles")).validation()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p7_found, p7_unseen_hosts)}
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of web pages that hold an article."""
+    texts = table(spark, d, "article_texts")
+    without = residue.Residue(texts, table(spark, d, "articles")).cases()
+    lines = boilerplate.marked(texts, "article_id", only="extractor = 'readability'")
+    return lines.join(without, lines["article_id"] == without["doc"], "left_anti")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = _page_lines(spark, d).select("article_id", F.posexplode("own").alias("i", "own"))
+    return lines.filter("own = 0").select("article_id", (F.col("i") + 1).cast("int").alias("line_no")).distinct()
+
+
+def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.own_text(_page_lines(spark, d)).select("article_id", F.col("own_text").alias("content_text"), F.size(F.filter("own", lambda x: x == 0)).alias("lines_removed"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p6_found, p6_main_text, p7_found, p7_unseen_hosts)}

@@ -47,7 +47,7 @@ def line_id(line: Column) -> Column:
 
 def line_ids(text: Column) -> Column:
     """The identifiers of a text's lines in order, null for a line without letters."""
-    return F.transform(F.split(text, "\n", -1), line_id)
+    return F.transform(F.transform(F.split(text, "\n", -1), letters), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
