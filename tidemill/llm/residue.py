@@ -41,23 +41,30 @@ PHRASES = (
     r"this is a test (article|post|story)", r"(headline|title|body|intro|text|dummy headline)( \p{L}+){0,6} (goes here|over two lines|to come)", r"(slug: )?tk tk", r"title title|text text text|xxxxx? xxxx",
     r"(\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)", r"the mayor of (\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)",
 )
-# The beginnings of filler words.
-FILLER = ("lorem", "ipsum", "dolor", "amet", "consec", "adipis", "elit", "sed", "eiusmo", "tempor", "incidid", "incidun", "labore", "magna", "aliqua", "aliquo", "enim", "minim", "veniam", "quis", "nostru", "exerci", "ullamc", "nisi", "commod", "irure", "velit", "cillum", "fugiat", "nulla", "pariat", "except", "sint", "occae", "cupid", "culpa", "officia", "mollit", "anim")
-_MARK = r"\{\{|\}\}|\{%|<%|%>|\$\{|%%|@@|\[\[|\]\]|__\w|<!--"
-
-
-def _signs(text: Column) -> dict[str, Column]:
-    """What the weak labels look at."""
-    lines = F.filter(F.transform(F.split(F.lower(text), r"\r?\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[\s ]+", " "))), lambda x: x != "")
-    phrase = r"^(" + "|".join(PHRASES) + r")"
-    filler = r"(?<!\p{L})(" + "|".join(FILLER) + r")"
-    words = lambda x: F.size(F.split(x, " "))
-    prose = lambda x: (words(x) >= 10) & ~x.rlike(phrase) & ~x.rlike(_MARK) & (F.regexp_count(x, F.lit(filler)) * 3 < words(x))
-    return {
-        "lines": F.size(lines),
-        "hit": F.exists(lines, lambda x: x.rlike(phrase) | (F.regexp_count(x, F.lit(filler)) * 2 > words(x))),
-        "prose": F.size(F.filter(lines, prose)),
-    }
+# The first five letters of filler words.
+FILLER = ("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo", "incid", "labor", "magna", "aliqu", "minim", "venia", "nostr", "exerc", "ullam", "commo", "irure", "velit", "cillu", "fugia", "nulla", "paria", "excep", "occae", "cupid", "culpa", "offic", "molli", "sedro", "sinte", "elitu", "quist")
+_MARK = r"[{}<$%@\[_][{}%@\[_!]"
+
+
+def _signs(text: Column) -> Column:
+    """What the weak labels look at: lines that begin with residue or are mostly filler, and lines of prose; the longest line."""
+
+    def line(x: Column) -> Column:
+        words = F.split(x, r"[\s\u00a0]+")
+        filler = F.size(F.filter(words, lambda w: F.substring(w, 1, 5).isin(*FILLER)))
+        return F.struct(F.length(x).alias("length"), F.size(words).alias("words"), filler.alias("filler"), ((F.length(x) <= 250) & x.rlike(r"^(?:" + "|".join(PHRASES) + r")")).alias("phrase"), x.rlike(_MARK).alias("mark"))
+
+    lines = F.filter(F.transform(F.split(F.lower(text), r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    per = F.transform(lines, line)
+    return F.aggregate(
+        per,
+        F.struct(F.lit(False).alias("hit"), F.lit(0).alias("prose"), F.lit(0).alias("longest")),
+        lambda a, x: F.struct(
+            (a["hit"] | x["phrase"] | (x["filler"] * 2 > x["words"])).alias("hit"),
+            (a["prose"] + ((x["words"] >= 10) & ~x["phrase"] & ~x["mark"] & (x["filler"] * 3 < x["words"])).cast("int")).alias("prose"),
+            F.greatest(a["longest"], x["length"]).alias("longest"),
+        ),
+    )
 
 
 PLAIN = ("f_words", "f_line", "f_prose", "f_title", "f_status")
@@ -66,13 +73,9 @@ PLAIN = ("f_words", "f_line", "f_prose", "f_title", "f_status")
 def features(docs: DataFrame) -> DataFrame:
     """``docs`` has doc, source, text, title, status; gives hashed n-grams, plain features and the weak label (1, 0 or null)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    s = _signs(text)
     token = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}\p{N}\s]+)"), F.lit(1))
     title = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)), lambda x: F.length(x) >= 4))
-    d = docs.select(
-        "doc", "source", "status", token.alias("tokens"), title.alias("title"), F.struct(s["lines"].alias("lines"), s["hit"].alias("hit"), s["prose"].alias("prose")).alias("weak"),
-        F.array_max(F.transform(F.split(text, "\n", -1), lambda x: F.length(x))).cast("double").alias("longest"), (F.trim(F.regexp_replace(text, r"[\s\u00a0]+", " ")) == "").alias("blank"),
-    )
+    d = docs.select("doc", "source", "status", token.alias("tokens"), title.alias("title"), _signs(text).alias("weak"), (~text.rlike(r"[^\s\u00a0]")).alias("blank"))
     slot = lambda *x: F.pmod(F.xxhash64(*x), F.lit(WIDTH)).cast("int")
     pairs = F.zip_with("tokens", F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), slot(a, b)))
     bad = F.coalesce(F.col("status") >= 400, F.lit(False))
@@ -81,7 +84,7 @@ def features(docs: DataFrame) -> DataFrame:
         "source",
         F.array_compact(F.array_distinct(F.concat(F.transform("tokens", lambda x: slot(x)), pairs))).alias("grams"),
         (F.log1p(F.size("tokens").cast("double")) / 8).alias("f_words"),
-        (F.log1p("longest") / 8).alias("f_line"),
+        (F.log1p(F.col("weak.longest").cast("double")) / 8).alias("f_line"),
         F.least(F.lit(1.0), F.col("weak.prose") / 4.0).alias("f_prose"),
         F.when(F.size("title") == 0, 0.0).otherwise(F.size(F.array_intersect("title", "tokens")) / F.size("title")).alias("f_title"),
         F.when(bad, 1.0).otherwise(0.0).alias("f_status"),
