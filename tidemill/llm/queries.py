@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import boilerplate, components, repeated_lines, residue
+from tidemill.llm import boilerplate, components, encoding, leakage, repeated_lines, residue
 from tidemill.session import table
 
 
@@ -56,4 +56,12 @@ def p6_main_text(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.own_text(_page_lines(spark, d)).select("article_id", F.col("own_text").alias("content_text"), F.size(F.filter("own", lambda x: x == 0)).alias("lines_removed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p6_found, p6_main_text, p7_found, p7_unseen_hosts)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p6_found, p6_main_text, p7_found, p7_unseen_hosts, p8_ids, p9_found)}
