@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import boilerplate, components, encoding, leakage, repeated_lines, residue
+from tidemill.llm import boilerplate, components, encoding, leakage, repeated_lines, residue, subjects
 from tidemill.session import table
 
 
@@ -64,4 +64,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p6_found, p6_main_text, p7_found, p7_unseen_hosts, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.Subjects(table(spark, d, "documents"), table(spark, d, "subject_labels")).found()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and their summed shares by subject."""
+    shares = subjects.Subjects(table(spark, d, "documents"), table(spark, d, "subject_labels")).shares()
+    return shares.groupBy("subject_id").agg(F.count(F.lit(1)).alias("documents"), F.round(F.sum("share"), 3).alias("share_sum"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p6_found, p6_main_text, p7_found, p7_unseen_hosts, p8_ids, p9_found, p10_found, p10_composition)}
