@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import boilerplate, components, encoding, leakage, mojibake, repeated_lines, residue, subjects
+from tidemill.llm import boilerplate, components, encoding, history, leakage, mojibake, repeated_lines, residue, subjects
 from tidemill.session import table
 
 
@@ -85,4 +85,8 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("state != 'sound'").select("ingest_seq", "field", "value", F.when(F.col("state") == "restored", F.col("restored")).alias("restored"), "proven")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p4_found, p4_groups, p5_found, p5_restored, p6_found, p6_main_text, p7_found, p7_unseen_hosts, p8_ids, p9_found, p10_found, p10_composition)}
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return history.repetitions(table(spark, d, "articles"), table(spark, d, "article_texts")).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_blocks, p1_cleaned, p2_found, p4_found, p4_groups, p5_found, p5_restored, p6_found, p6_main_text, p7_found, p7_unseen_hosts, p8_ids, p9_found, p10_found, p10_composition)}
