@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import timestamps
+from tidemill.plans import articles, streams
 from tidemill.session import table
 
 
@@ -19,5 +20,5 @@ def p3_normalised(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.normalise_published(table(spark, d, "articles"), table(spark, d, "feeds"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_normalised)}
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p3_normalised)} | articles.QUERIES | streams.QUERIES
+ORACLE: dict[str, str] = articles.ORACLE | streams.ORACLE
