@@ -7,8 +7,8 @@ of prose; and texts with lines of prose and none of the phrases. Texts that are
 used for training. Hosts whose hash falls into the held-out share take no part in the training
 either; ``validate`` gives the agreement on them.
 
-The training rows are a bounded sample (``TRAIN_ROWS`` for each label, the smallest hashes of the
-key); every text is scored.
+The training rows are a bounded sample: the ``SAMPLE`` texts with the smallest hashes of the key, as far as
+they get a label, and no more than ``TRAIN_ROWS`` of either; every text is scored.
 
 Defined results: null, empty and blank texts hold no article and are cases; an article without a
 title counts as sharing no word with it; repeated rows get equal scores. If a label has no rows
@@ -17,17 +17,20 @@ at all, the weak labels themselves decide.
 
 from __future__ import annotations
 
+import math
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.session import Scratch
 
-#: Rows of each weak label that the model is fitted on, features, and the share of hosts held out, in percent.
-TRAIN_ROWS, WIDTH, HELD_OUT = 4_000, 1 << 15, 20
+#: Texts that are looked at for weak labels, rows of each that the model is fitted on, features, and the share of hosts held out, in percent.
+SAMPLE, TRAIN_ROWS, WIDTH, HELD_OUT = 16_000, 3_000, 1 << 15, 20
 #: Share of residue that the fit supposes, whatever the sample's; the probability from which a text is a case.
 PRIOR, CASE = 0.05, 0.25
 
@@ -42,55 +45,84 @@ PHRASES = (
     r"(\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)", r"the mayor of (\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)",
 )
 # The first five letters of filler words.
-FILLER = ("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo", "incid", "labor", "magna", "aliqu", "minim", "venia", "nostr", "exerc", "ullam", "commo", "irure", "velit", "cillu", "fugia", "nulla", "paria", "excep", "occae", "cupid", "culpa", "offic", "molli", "sedro", "sinte", "elitu", "quist")
+FILLER = frozenset(("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo", "incid", "labor", "magna", "aliqu", "minim", "venia", "nostr", "exerc", "ullam", "commo", "irure", "velit", "cillu", "fugia", "nulla", "paria", "excep", "occae", "cupid", "culpa", "offic", "molli", "sedro", "sinte", "elitu", "quist"))
 _MARK = r"[{}<$%@\[_][{}%@\[_!]"
 
 
 def _signs(text: Column) -> Column:
-    """What the weak labels look at: lines that begin with residue or are mostly filler, and lines of prose; the longest line."""
+    """What the weak labels look at: lines that begin with residue or are mostly filler, and lines of prose."""
 
     def line(x: Column) -> Column:
         words = F.split(x, r"[\s\u00a0]+")
-        filler = F.size(F.filter(words, lambda w: F.substring(w, 1, 5).isin(*FILLER)))
-        return F.struct(F.length(x).alias("length"), F.size(words).alias("words"), filler.alias("filler"), ((F.length(x) <= 250) & x.rlike(r"^(?:" + "|".join(PHRASES) + r")")).alias("phrase"), x.rlike(_MARK).alias("mark"))
+        filler = F.size(F.filter(words, lambda w: F.substring(w, 1, 5).isin(*sorted(FILLER))))
+        return F.struct(F.size(words).alias("words"), filler.alias("filler"), ((F.length(x) <= 250) & x.rlike(r"^(?:" + "|".join(PHRASES) + r")")).alias("phrase"), x.rlike(_MARK).alias("mark"))
 
     lines = F.filter(F.transform(F.split(F.lower(text), r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
     per = F.transform(lines, line)
     return F.aggregate(
         per,
-        F.struct(F.lit(False).alias("hit"), F.lit(0).alias("prose"), F.lit(0).alias("longest")),
+        F.struct(F.lit(False).alias("hit"), F.lit(0).alias("prose")),
         lambda a, x: F.struct(
             (a["hit"] | x["phrase"] | (x["filler"] * 2 > x["words"])).alias("hit"),
             (a["prose"] + ((x["words"] >= 10) & ~x["phrase"] & ~x["mark"] & (x["filler"] * 3 < x["words"])).cast("int")).alias("prose"),
-            F.greatest(a["longest"], x["length"]).alias("longest"),
         ),
     )
 
 
-PLAIN = ("f_words", "f_line", "f_prose", "f_title", "f_status")
+PLAIN = ("f_words", "f_line", "f_long", "f_filler", "f_title", "f_status")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``docs`` has doc, source, text, title, status; gives hashed n-grams, plain features and the weak label (1, 0 or null)."""
+_TOKEN = re.compile(r"[^\W\d_]+|(?:[^\w\s]|_)+")
+_WORD = re.compile(r"[^\W\d_]{4,}")
+
+
+class _Slots(dict):
+    """A token's hash, and in a higher bit whether it is filler; a worker keeps no more than ``KEPT``."""
+
+    KEPT = 500_000
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        self[token] = x = zlib.crc32(token.encode()) | (token[:5] in FILLER) << 32
+        return x
+
+
+_SLOTS = _Slots()
+
+
+def features(texts: list[str | None], titles: list[str | None], status: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed n-gram slots of every row, each once; their numbers; the plain features."""
+    tokens, ends, plain = [], [0], np.zeros((len(texts), len(PLAIN)))
+    for i, (text, title, code) in enumerate(zip(texts, titles, status)):
+        text = text or ""
+        own = _TOKEN.findall(text.lower())
+        tokens += own
+        ends.append(len(tokens))
+        sizes = [len(x) for x in text.split("\n")]
+        words = set(_WORD.findall((title or "").lower()))
+        shared = len(words.intersection(own)) / len(words) if words else 0.0
+        plain[i] = (math.log1p(len(own)) / 8, math.log1p(max(sizes)) / 8, min(1.0, sum(x >= 90 for x in sizes) / 4), 0.0, shared, float((code or 0) >= 400))
+    x = np.fromiter(map(_SLOTS.__getitem__, tokens), np.int64, len(tokens))
+    n = np.diff(ends)
+    row = np.repeat(np.arange(len(n)), n)
+    filler = np.bincount(row, weights=x >> 32, minlength=len(n)) / np.maximum(n, 1)
+    plain[:, 3] = filler
+    plain[filler > 0.3, 2] = 0
+    h = x & 0xFFFFFFFF
+    pair = (h[:-1] * 0x9E3779B1 ^ h[1:] * 0x85EBCA77) & 0xFFFFFFFF
+    both = row[:-1] == row[1:]
+    mixed = lambda v: (v ^ v >> 15) % WIDTH
+    once = np.unique(np.concatenate([row * WIDTH + mixed(h), row[:-1][both] * WIDTH + mixed(pair[both] + 1)]))
+    return once % WIDTH, np.bincount(once // WIDTH, minlength=len(n)), plain
+
+
+def weak_labels(docs: DataFrame) -> DataFrame:
+    """doc, label (1, 0 or null) of texts that aren't blank."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    token = F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}+|[^\p{L}\p{N}\s]+)"), F.lit(1))
-    title = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit(r"(\p{L}+)"), F.lit(1)), lambda x: F.length(x) >= 4))
-    d = docs.select("doc", "source", "status", token.alias("tokens"), title.alias("title"), _signs(text).alias("weak"), (~text.rlike(r"[^\s\u00a0]")).alias("blank"))
-    slot = lambda *x: F.pmod(F.xxhash64(*x), F.lit(WIDTH)).cast("int")
-    pairs = F.zip_with("tokens", F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), slot(a, b)))
     bad = F.coalesce(F.col("status") >= 400, F.lit(False))
-    return d.select(
-        "doc",
-        "source",
-        F.array_compact(F.array_distinct(F.concat(F.transform("tokens", lambda x: slot(x)), pairs))).alias("grams"),
-        (F.log1p(F.size("tokens").cast("double")) / 8).alias("f_words"),
-        (F.log1p(F.col("weak.longest").cast("double")) / 8).alias("f_line"),
-        F.least(F.lit(1.0), F.col("weak.prose") / 4.0).alias("f_prose"),
-        F.when(F.size("title") == 0, 0.0).otherwise(F.size(F.array_intersect("title", "tokens")) / F.size("title")).alias("f_title"),
-        F.when(bad, 1.0).otherwise(0.0).alias("f_status"),
-        F.when((F.col("weak.prose") == 0) & (F.col("weak.hit") | bad), 1.0).when((F.col("weak.prose") > 0) & ~F.col("weak.hit"), 0.0).alias("label"),
-        "blank",
-    )
+    label = F.when((F.col("weak.prose") == 0) & (F.col("weak.hit") | bad), 1.0).when((F.col("weak.prose") > 0) & ~F.col("weak.hit"), 0.0)
+    return docs.filter(text.rlike(r"[^\s\u00a0]")).select("doc", "source", _signs(text).alias("weak"), "status").select("doc", "source", label.alias("label"))
 
 
 def _unseen(source: str = "source") -> Column:
@@ -121,57 +153,53 @@ def fit(flat: np.ndarray, sizes: np.ndarray, plain: np.ndarray, y: np.ndarray, r
 
 
 class Residue:
-    """Features are made once and kept; then the sample, the fit, and the scores of all rows."""
+    """The sample and its labels, the fit, and the scores of all rows, for which the texts are read once."""
 
     def __init__(self, texts: DataFrame, articles: DataFrame):
         self.scratch = Scratch(texts.sparkSession, "residue")
-        self.feats = self.scratch.keep(features(inputs(texts, articles)))
+        self.inputs = inputs(texts, articles)
+        # The sample's keys are few, so that its texts are found without moving the others.
+        keys = F.broadcast(texts.select("article_id", F.xxhash64("article_id").alias("h")).orderBy("h", "article_id").limit(SAMPLE).select("article_id").distinct())
+        few = inputs(texts.join(keys, "article_id", "left_semi"), articles.join(keys, "article_id", "left_semi"))
+        self.sample = self.scratch.keep(few.join(weak_labels(few).select("doc", "label").filter("label is not null").distinct(), "doc"))
         self.weights = self._train()
 
     def _train(self) -> np.ndarray | None:
-        known = self.feats.filter("label is not null and not blank").filter(~_unseen()).withColumn("h", F.xxhash64("doc"))
-        chosen = known.select("label", "h", "doc", "grams", *PLAIN).withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc"))).filter(f"k <= {TRAIN_ROWS}")
-        rows = chosen.select("label", "grams", *PLAIN).toArrow()
+        seen = self.sample.filter(~_unseen()).withColumn("h", F.xxhash64("doc"))
+        of = lambda v: seen.filter(F.col("label") == v).orderBy("h", "doc").limit(TRAIN_ROWS).select("label", "text", "title", "status")
+        rows = of(1.0).union(of(0.0)).toArrow()
         y = rows["label"].to_numpy()
         if len(set(y)) < 2:
             return None
-        flat, sizes, plain = _arrays(rows.combine_chunks())
-        return fit(flat, sizes, plain, y)
+        return fit(*features(*(rows[c].to_pylist() for c in ("text", "title", "status"))), y)
 
     def scored(self) -> DataFrame:
-        """doc, source, label, residue (0 to 1) of every row."""
-        own = self.feats.select("doc", "source", "label", "blank", "grams", *PLAIN)
-        w = self.weights
+        """doc, source, residue (0 to 1) of every row."""
+        own, w = self.inputs.withColumn("blank", ~F.coalesce("text", F.lit("")).rlike(r"[^\s\u00a0]")), self.weights
         if w is None:
-            return own.select("doc", "source", "label", F.when(F.col("blank"), 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
+            weak = weak_labels(self.inputs).select("doc", "label").distinct()
+            return own.join(weak, "doc", "left").select("doc", "source", F.when(F.col("blank"), 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                t = pa.Table.from_batches([b])
-                p = 1 / (1 + np.exp(-np.clip(_margins(*_arrays(t), w), -30, 30)))
-                p = np.where(t["blank"].to_numpy(), 1.0, p)
-                yield pa.RecordBatch.from_arrays([b["doc"], b["source"], b["label"], pa.array(p)], ["doc", "source", "label", "residue"])
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1_000):
+                    b = whole.slice(at, 1_000)
+                    p = 1 / (1 + np.exp(-np.clip(_margins(*features(*(b[c].to_pylist() for c in ("text", "title", "status"))), w), -30, 30)))
+                    p = np.where(b["blank"].to_numpy(zero_copy_only=False), 1.0, p)
+                    yield pa.RecordBatch.from_arrays([b["doc"], b["source"], pa.array(p)], ["doc", "source", "residue"])
 
         kind = {n: own.schema[n].dataType.simpleString() for n in ("doc", "source")}
-        return own.mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, label double, residue double")
+        return own.select("doc", "source", "text", "title", "status", "blank").mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, residue double")
 
     def cases(self) -> DataFrame:
         """doc of every text that holds no article."""
         return self.scored().filter(F.col("residue") > CASE).select("doc").distinct()
 
     def validation(self) -> DataFrame:
-        """Rows and agreement with the weak labels on the hosts the training never saw."""
-        s = self.scored().filter(_unseen()).filter("label is not null")
+        """The sample's rows, and their agreement with the weak labels, on the hosts the training never saw."""
+        known = self.sample.filter(_unseen()).select("doc", "label").distinct()
         right = (F.col("residue") > CASE) == (F.col("label") == 1.0)
-        return s.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
-
-
-def _arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    grams = t["grams"].combine_chunks() if isinstance(t["grams"], pa.ChunkedArray) else t["grams"]
-    grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
-    sizes = np.diff(grams.offsets.to_numpy())
-    plain = np.column_stack([t[f].to_numpy() for f in PLAIN])
-    return grams.flatten().to_numpy(zero_copy_only=False), sizes, plain
+        return self.scored().join(known, "doc").groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
 
 
 def inputs(texts: DataFrame, articles: DataFrame) -> DataFrame:
