@@ -61,7 +61,7 @@ def entries(fetched: DataFrame) -> DataFrame:
                     rows += [{"source_id": source, "error": None, **e} for e in parse(body)]
                 except (ValueError, ElementTree.ParseError) as x:
                     rows.append({"source_id": source, "error": str(x)[:200]})
-            yield pd.DataFrame(rows, columns=cols).astype({"position": "Int32"})
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="Int32" if c == "position" else object) for c in cols})
 
     return fetched.select("source_id", "body").mapInPandas(run, SCHEMA)
 
