@@ -75,3 +75,19 @@ def test_windows(spark):
     assert windows.hopping(df, "ts").count() == 3
     assert windows.sparse_plan(df, "ts", "e is null").count() == 1
     assert windows.sparse_plan(df.limit(0), "ts", "e is null").count() == 0
+
+
+def test_cohesion(spark):
+    from tidemill.functions import cohesion
+
+    cases = [
+        ("Zorby Bridge collapse hits Kadin", "Bridge collapse near Kadin kills", 2),
+        ("UPDATE: Zorby backs Kadin", "Live - Kadin meets Zorby", 1),
+        ("Storm hits Kadin", "Kadin storm", 1),
+        ("Storm hits coast", "coast after storm", 0),
+        ("People of the year", "Year of people", 0),
+        ("One", None, 0),
+    ]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
+    got = {r["i"]: r["s"] for r in df.select("i", cohesion.strength(cohesion.words(F.col("a")), cohesion.words(F.coalesce("b", F.lit("")))).alias("s")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
