@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,43 +28,60 @@ from tidemill.llm import repeated_lines, residue
 WINDOW, SURGE = 3, 40
 
 _TAG = re.compile(r"<[^<>]{0,400}>")
-_SPACE = re.compile(r"\s+")
-_END = re.compile(r"[.!?…。»”“\"')\]]$")
+_END = set(".!?…。»”“\"')]")
 _LIST = re.compile(r"^[-*•–] .{1,80}: [+-]?[\d.,   ]+ ?%?$")
-_LINK = re.compile(r"^(?:›|»|→|\d{1,2}[.)] )|\s\d{1,3} (?:h|min|Std|ч|d)\.?$")
-_MENU = re.compile(r"[▲▼⟶→]|-?\d+ ?°|^[^.!?]{1,40} › |(?:[^|]+ \| ){2}|(?:[^·]+ · ){2}|(?:[^/]+ / ){2}|(?:\S[^.!?]*?\s{2,}){2}\S|^(?:\S+ ){0,2}\S+\s{2,}\S+$")
+_LINK = re.compile(r"^(?:›|»|→|\d{1,2}[.)] )")
+_AGO = re.compile(r"\s\d{1,3} (?:h|min|Std|ч|d)\.?$")
+_GAP = re.compile(r"\s\s")
+_GAPS = re.compile(r"\s{2,}")
+_DEGREES = re.compile(r"-?\d+ ?°")
+_CRUMB = re.compile(r"^[^.!?]{1,40} › ")
+_BYLINE = re.compile(r"^(?:by|von|par|por|texto de|reporting by|propos recueillis par|автор:|текст:|mitarbeit:) |, (?:staff writer|redacción|redação|redaktion|корреспондент)\b", re.I)
 _SLOT = re.compile(r"^(?:\{\{.*\}\}|\{%.*%\}|<%.*%>|\$\{.*\}|%%.*%%|@@.*@@|\[\[.*\]\]|__.*__)$")
 _STRAY = re.compile(r"^(?:" + "|".join(p.replace(r"\p{L}", r"[^\W\d_]") for p in residue.PHRASES) + r")")
 # Beginnings of short prompts that a page puts between paragraphs.
 _PROMPT = re.compile(r"^(?:continue reading|read more|read on|listen to|updated|update:|advertisement|sign up|subscribe|share|watch:|photo:|image:|weiterlesen|lire la suite|seguir leyendo|continuar a ler|читать далее)\b", re.I)
-_WORD = re.compile(r"[^\W\d_]+")
 
 TEXT, ITEM, SHORT, LINK, FOREIGN, EMPTY = range(6)
 
 
+def _menu(raw: str) -> bool:
+    """A menu, ticker, weather line or path of sections."""
+    if any(c in raw for c in "▲▼⟶→°›|·/") and (
+        any(c in raw for c in "▲▼⟶→") or ("°" in raw and _DEGREES.search(raw)) or ("›" in raw and _CRUMB.match(raw)) or any(raw.count(c) >= 2 for c in (" | ", " · ", " / "))
+    ):
+        return True
+    if _GAP.search(raw) and not any(c in raw for c in ".!?"):
+        parts = _GAPS.split(raw)
+        return len(parts) >= 3 and " " in raw or len(parts) == 2 and max(map(len, parts)) <= 40
+    return False
+
+
 def kind(line: str, repeated: bool) -> tuple[int, int]:
     """What a line is by itself, and its length in letters (0 for all but sentences and list items)."""
     raw = line.strip()
     if not raw:
         return EMPTY, 0
+    n = len(raw)
+    if n >= 300 and not repeated and "<" not in raw:  # no rule below is about lines as long as this
+        return TEXT, n
     if _SLOT.match(raw):
         return FOREIGN, 0
-    s = _SPACE.sub(" ", _TAG.sub(" ", raw)).strip()
-    if _LIST.match(s):
+    s = " ".join((_TAG.sub(" ", raw) if "<" in raw else raw).split())
+    if s[:1] in "-*•–" and _LIST.match(s):
         return ITEM, len(s)
     if repeated or not s:
         return FOREIGN, 0
-    words = len(_WORD.findall(s))
-    ends = bool(_END.search(s))
-    if len(s) < 300 and _STRAY.match(s.lower()):
+    if n < 300 and _STRAY.match(s.lower()):
         return FOREIGN, 0
-    if ends and words >= 6 and not (s.endswith("?") and words < 12 and not re.search(r"[.!?] ", s)):
-        return TEXT, sum(map(len, _WORD.findall(s)))
-    if len(s) < 300 and _MENU.search(raw):
+    words = s.count(" ") + 1
+    if words >= 6 and s[-1] in _END and not (s[-1] == "?" and words < 12 and not re.search(r"[.!?] ", s)):
+        return TEXT, len(s)
+    if n < 300 and (_menu(raw) or (words <= 10 and _BYLINE.search(s))):
         return FOREIGN, 0
     if words >= 25:
         return TEXT, len(s)
-    if _LINK.search(s):
+    if _LINK.match(s) or _AGO.search(s[-12:]):
         return LINK, 0
     if words <= 8 and _PROMPT.match(s):
         return FOREIGN, 0
@@ -78,15 +94,10 @@ def own_lines(lines: list[str], repeated: list[bool]) -> list[int]:
     full = [i for i, (k, _) in enumerate(kinds) if k != EMPTY]
     own = [-1] * len(lines)
     n = len(full)
-    if not n:
-        return own
-    size = np.array([kinds[i][1] for i in full])
-    total = np.concatenate([[0], np.cumsum(size)])
+    size = [kinds[i][1] for i in full]
     half = WINDOW // 2
-    at = np.arange(n)
-    block = total[np.minimum(at + half + 1, n)] - total[np.maximum(at - half, 0)]
-    inside = block >= SURGE
-    surge = int(np.argmax(size > 0)) if (size > 0).any() else n
+    inside = [sum(size[max(0, j - half) : j + half + 1]) >= SURGE for j in range(n)]
+    surge = next((j for j in range(n) if size[j]), n)
     for j, i in enumerate(full):
         k = kinds[i][0]
         if k in (TEXT, ITEM):
@@ -99,21 +110,25 @@ def own_lines(lines: list[str], repeated: list[bool]) -> list[int]:
     return own
 
 
-def marked(texts: DataFrame, *keep: str, lines: repeated_lines.RepeatedLines | None = None, only: str | None = None) -> DataFrame:
-    """``keep`` columns, the text and ``own``: for each of its lines 1, 0 or -1. ``only`` is a condition on the texts."""
-    found = lines or repeated_lines.RepeatedLines(texts)
-    rows = texts.filter(only) if only else texts
-    rows = rows.filter("content_text is not null").select(*keep, F.col("source_id").alias("source"), "content_text")
-    c = found.covered().withColumnRenamed("source", "__source")
-    rows = rows.join(c, rows["source"].eqNullSafe(c["__source"]), "left")
-    hot = F.transform(repeated_lines.line_ids(F.col("content_text")), lambda x: F.coalesce(F.array_contains("covered", x), F.lit(False)))
-    rows = rows.select(*keep, "content_text", hot.alias("hot"))
-    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
+def flagged(texts: DataFrame, *keep: str, lines: repeated_lines.RepeatedLines | None = None) -> DataFrame:
+    """``article_id``, ``keep`` columns, the text, and for each of its lines whether the site repeats it."""
+    lines = lines or repeated_lines.RepeatedLines(texts, keep=("content_text", *keep))
+    rows = repeated_lines.by_source(lines.rows, lines.covered(), "left")
+    hot = F.transform("ids", lambda x: F.coalesce(F.array_contains("covered", x), F.lit(False)))
+    return rows.select(F.col("doc").alias("article_id"), *keep, "content_text", hot.alias("hot"))
+
+
+def marked(texts: DataFrame, *keep: str, only: str | None = None) -> DataFrame:
+    """``article_id``, ``keep`` columns, the text and ``own``: for each of its lines 1, 0 or -1. ``only`` is a condition on the texts."""
+    rows = flagged(texts, *keep)
+    rows = rows.filter(only) if only else rows
+    names = ["article_id", *keep]
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [own_lines(t.split("\n"), h) for t, h in zip(b["content_text"].to_pylist(), b["hot"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), b["content_text"], pa.array(own, pa.list_(pa.int32()))], [*keep, "content_text", "own"])
+            yield pa.RecordBatch.from_arrays([*(b[k] for k in names), b["content_text"], pa.array(own, pa.list_(pa.int32()))], [*names, "content_text", "own"])
 
     return rows.mapInArrow(run, f"{kinds}, content_text string, own array<int>")
 

@@ -47,7 +47,7 @@ def line_id(line: Column) -> Column:
 
 def line_ids(text: Column) -> Column:
     """The identifiers of a text's lines in order, null for a line without letters."""
-    return F.transform(F.transform(F.split(text, "\n", -1), letters), lambda x: F.when(x != "", F.xxhash64(x)))
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", ""), "\n", -1), lambda x: F.when(x != "", F.xxhash64(x)))
 
 
 def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -151,17 +151,19 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 class RepeatedLines:
     """The blocks and lines that the documents of a source repeat; reads the texts once."""
 
-    def __init__(self, docs: DataFrame, doc: str = "article_id", source: str = "source_id", text: str = "content_text"):
+    def __init__(self, docs: DataFrame, doc: str = "article_id", source: str = "source_id", text: str = "content_text", keep: tuple[str, ...] = ()):
         self.scratch = scratch = Scratch(docs.sparkSession, "repeated-lines")
         self.docs, self.doc, self.source, self.text = docs, doc, source, text
         self.kind = docs.schema[source].dataType.simpleString()
-        lines = scratch.keep(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), line_ids(F.col(text)).alias("ids")).filter("ids is not null"))
+        lines = scratch.keep(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), line_ids(F.col(text)).alias("ids"), *keep).filter("ids is not null"))
         first = _first_symbols(lines, needed(docs, source))
         marked = by_source(lines, first).select(
             "doc", "source", "least", F.transform("ids", lambda x: F.when(x.isNull(), None).when(F.array_contains("first", F.coalesce(x, F.lit(0))), x).otherwise(F.lit(0))).alias("hit")
         )
         self.marked = scratch.keep(marked.filter(F.exists("hit", lambda x: x != 0)))
-        scratch.drop(lines)
+        self.rows = lines
+        if not keep:
+            scratch.drop(lines)
         self.blocks = scratch.keep(self._blocks())
 
     def _blocks(self) -> DataFrame:

@@ -19,20 +19,20 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.session import Scratch
 
 #: Texts that are looked at for weak labels, rows of each that the model is fitted on, features, and the share of hosts held out, in percent.
-SAMPLE, TRAIN_ROWS, WIDTH, HELD_OUT = 16_000, 3_000, 1 << 15, 20
+SAMPLE, TRAIN_ROWS, WIDTH, HELD_OUT = 8_000, 3_000, 1 << 15, 20
 #: Share of residue that the fit supposes, whatever the sample's; the probability from which a text is a case.
-PRIOR, CASE = 0.05, 0.25
+PRIOR, CASE = 0.05, 0.45
 
 # Beginnings of lines that a page without its article shows.
 PHRASES = (
@@ -46,27 +46,8 @@ PHRASES = (
 )
 # The first five letters of filler words.
 FILLER = frozenset(("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo", "incid", "labor", "magna", "aliqu", "minim", "venia", "nostr", "exerc", "ullam", "commo", "irure", "velit", "cillu", "fugia", "nulla", "paria", "excep", "occae", "cupid", "culpa", "offic", "molli", "sedro", "sinte", "elitu", "quist"))
-_MARK = r"[{}<$%@\[_][{}%@\[_!]"
-
-
-def _signs(text: Column) -> Column:
-    """What the weak labels look at: lines that begin with residue or are mostly filler, and lines of prose."""
-
-    def line(x: Column) -> Column:
-        words = F.split(x, r"[\s\u00a0]+")
-        filler = F.size(F.filter(words, lambda w: F.substring(w, 1, 5).isin(*sorted(FILLER))))
-        return F.struct(F.size(words).alias("words"), filler.alias("filler"), ((F.length(x) <= 250) & x.rlike(r"^(?:" + "|".join(PHRASES) + r")")).alias("phrase"), x.rlike(_MARK).alias("mark"))
-
-    lines = F.filter(F.transform(F.split(F.lower(text), r"\r?\n", -1), lambda x: F.trim(x)), lambda x: x != "")
-    per = F.transform(lines, line)
-    return F.aggregate(
-        per,
-        F.struct(F.lit(False).alias("hit"), F.lit(0).alias("prose")),
-        lambda a, x: F.struct(
-            (a["hit"] | x["phrase"] | (x["filler"] * 2 > x["words"])).alias("hit"),
-            (a["prose"] + ((x["words"] >= 10) & ~x["phrase"] & ~x["mark"] & (x["filler"] * 3 < x["words"])).cast("int")).alias("prose"),
-        ),
-    )
+_MARK = re.compile(r"[{}<$%@\[_][{}%@\[_!]")
+_BEGINS = re.compile("^(?:" + "|".join(p.replace(r"\p{L}", r"[^\W\d_]") for p in PHRASES) + ")")
 
 
 PLAIN = ("f_words", "f_line", "f_long", "f_filler", "f_title", "f_status")
@@ -76,53 +57,95 @@ _TOKEN = re.compile(r"[^\W\d_]+|(?:[^\w\s]|_)+")
 _WORD = re.compile(r"[^\W\d_]{4,}")
 
 
-class _Slots(dict):
-    """A token's hash, and in a higher bit whether it is filler; a worker keeps no more than ``KEPT``."""
+class _Codes(dict):
+    """A token's code: whether it is filler, whether it is a word, its bytes (to 63), and 56 bits of its hash."""
 
     KEPT = 500_000
 
     def __missing__(self, token: str) -> int:
         if len(self) >= self.KEPT:
             self.clear()
-        self[token] = x = zlib.crc32(token.encode()) | (token[:5] in FILLER) << 32
+        raw = token.encode()
+        self[token] = x = (xxhash.xxh64_intdigest(raw) >> 8 << 8 | min(len(raw), 63) << 2 | token[0].isalpha() << 1 | (token[:5] in FILLER)) - (1 << 63)
         return x
 
 
-_SLOTS = _Slots()
-
-
-def features(texts: list[str | None], titles: list[str | None], status: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashed n-gram slots of every row, each once; their numbers; the plain features."""
-    tokens, ends, plain = [], [0], np.zeros((len(texts), len(PLAIN)))
-    for i, (text, title, code) in enumerate(zip(texts, titles, status)):
-        text = text or ""
-        own = _TOKEN.findall(text.lower())
-        tokens += own
-        ends.append(len(tokens))
-        sizes = [len(x) for x in text.split("\n")]
+_CODES = _Codes()
+
+
+class Tokens:
+    """The tokens of texts as codes, line after line."""
+
+    def __init__(self, texts: list[str | None]):
+        self.texts = [(t or "") for t in texts]
+        tokens: list[str] = []
+        self.lines, counts = [], []
+        for text in self.texts:
+            lines = text.split("\n")
+            self.lines.append(lines)
+            for line in lines:
+                found = _TOKEN.findall(line.lower())
+                tokens += found
+                counts.append(len(found))
+        self.codes = np.fromiter(map(_CODES.__getitem__, tokens), np.int64, len(tokens))
+        self.per_line = np.array(counts, np.int64)
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in self.lines])]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(self.per_line)])
+        self.per_text = np.diff(total[starts])
+
+
+def features(tokens: Tokens, titles: list[str | None], status: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashed n-gram slots of every row; their numbers; the plain features."""
+    n = tokens.per_text
+    plain = np.zeros((len(n), len(PLAIN)))
+    for i, (text, lines, title, code, k) in enumerate(zip(tokens.texts, tokens.lines, titles, status, n.tolist())):
+        sizes = [len(x) for x in lines]
         words = set(_WORD.findall((title or "").lower()))
-        shared = len(words.intersection(own)) / len(words) if words else 0.0
-        plain[i] = (math.log1p(len(own)) / 8, math.log1p(max(sizes)) / 8, min(1.0, sum(x >= 90 for x in sizes) / 4), 0.0, shared, float((code or 0) >= 400))
-    x = np.fromiter(map(_SLOTS.__getitem__, tokens), np.int64, len(tokens))
-    n = np.diff(ends)
+        low = text.lower() if words else ""
+        shared = sum(w in low for w in words) / len(words) if words else 0.0
+        plain[i] = (math.log1p(k) / 8, math.log1p(max(sizes)) / 8, min(1.0, sum(x >= 90 for x in sizes) / 4), 0.0, shared, float((code or 0) >= 400))
+    x = tokens.codes
     row = np.repeat(np.arange(len(n)), n)
-    filler = np.bincount(row, weights=x >> 32, minlength=len(n)) / np.maximum(n, 1)
+    filler = np.bincount(row, weights=x & 1, minlength=len(n)) / np.maximum(n, 1)
     plain[:, 3] = filler
     plain[filler > 0.3, 2] = 0
-    h = x & 0xFFFFFFFF
+    h = x >> 8 & 0xFFFFFFFF
     pair = (h[:-1] * 0x9E3779B1 ^ h[1:] * 0x85EBCA77) & 0xFFFFFFFF
     both = row[:-1] == row[1:]
     mixed = lambda v: (v ^ v >> 15) % WIDTH
-    once = np.unique(np.concatenate([row * WIDTH + mixed(h), row[:-1][both] * WIDTH + mixed(pair[both] + 1)]))
-    return once % WIDTH, np.bincount(once // WIDTH, minlength=len(n)), plain
+    # In order of rows: the single tokens, then the pairs with the row they begin in.
+    slot = np.concatenate([mixed(h), mixed(pair[both] + 1)])
+    order = np.argsort(np.concatenate([row, row[:-1][both]]), kind="stable")
+    return slot[order], n + np.bincount(row[:-1][both], minlength=len(n)), plain
+
+
+def weak_label(text: str | None, status: int | None) -> float | None:
+    """1 for residue or a bad status without a line of prose, 0 for prose without residue, else None; None for blank texts."""
+    hit = prose = False
+    for line in (text or "").lower().splitlines():
+        words = line.split()
+        if words:
+            line = " ".join(words)
+            filler = sum(w[:5] in FILLER for w in words)
+            phrase = len(line) <= 250 and bool(_BEGINS.match(line))
+            hit |= phrase or filler * 2 > len(words)
+            prose |= len(words) >= 10 and not phrase and filler * 3 < len(words) and not _MARK.search(line)
+    if not text or text.isspace():
+        return None
+    return 1.0 if not prose and (hit or (status or 0) >= 400) else 0.0 if prose and not hit else None
 
 
 def weak_labels(docs: DataFrame) -> DataFrame:
-    """doc, label (1, 0 or null) of texts that aren't blank."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    bad = F.coalesce(F.col("status") >= 400, F.lit(False))
-    label = F.when((F.col("weak.prose") == 0) & (F.col("weak.hit") | bad), 1.0).when((F.col("weak.prose") > 0) & ~F.col("weak.hit"), 0.0)
-    return docs.filter(text.rlike(r"[^\s\u00a0]")).select("doc", "source", _signs(text).alias("weak"), "status").select("doc", "source", label.alias("label"))
+    """The rows, of which ``docs`` has doc, source, text, title, status, with their label."""
+    kind = {n: docs.schema[n].dataType.simpleString() for n in ("doc", "source")}
+    names = ["doc", "source", "text", "title", "status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            label = pa.array([weak_label(t, s) for t, s in zip(b["text"].to_pylist(), b["status"].to_pylist())], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), label], [*names, "label"])
+
+    return docs.select(*names).mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, text string, title string, status int, label double")
 
 
 def _unseen(source: str = "source") -> Column:
@@ -152,6 +175,12 @@ def fit(flat: np.ndarray, sizes: np.ndarray, plain: np.ndarray, y: np.ndarray, r
     return w
 
 
+def probability(tokens: Tokens, titles: list[str | None], status: list[int | None], w: np.ndarray) -> np.ndarray:
+    """That the texts are residue; 1 for blank ones."""
+    p = 1 / (1 + np.exp(-np.clip(_margins(*features(tokens, titles, status), w), -30, 30)))
+    return np.where([not t or t.isspace() for t in tokens.texts], 1.0, p)
+
+
 class Residue:
     """The sample and its labels, the fit, and the scores of all rows, for which the texts are read once."""
 
@@ -161,7 +190,7 @@ class Residue:
         # The sample's keys are few, so that its texts are found without moving the others.
         keys = F.broadcast(texts.select("article_id", F.xxhash64("article_id").alias("h")).orderBy("h", "article_id").limit(SAMPLE).select("article_id").distinct())
         few = inputs(texts.join(keys, "article_id", "left_semi"), articles.join(keys, "article_id", "left_semi"))
-        self.sample = self.scratch.keep(few.join(weak_labels(few).select("doc", "label").filter("label is not null").distinct(), "doc"))
+        self.sample = self.scratch.keep(weak_labels(few).filter("label is not null"))
         self.weights = self._train()
 
     def _train(self) -> np.ndarray | None:
@@ -171,25 +200,25 @@ class Residue:
         y = rows["label"].to_numpy()
         if len(set(y)) < 2:
             return None
-        return fit(*features(*(rows[c].to_pylist() for c in ("text", "title", "status"))), y)
+        return fit(*features(Tokens(rows["text"].to_pylist()), rows["title"].to_pylist(), rows["status"].to_pylist()), y)
 
     def scored(self) -> DataFrame:
         """doc, source, residue (0 to 1) of every row."""
-        own, w = self.inputs.withColumn("blank", ~F.coalesce("text", F.lit("")).rlike(r"[^\s\u00a0]")), self.weights
+        own, w = self.inputs, self.weights
         if w is None:
             weak = weak_labels(self.inputs).select("doc", "label").distinct()
-            return own.join(weak, "doc", "left").select("doc", "source", F.when(F.col("blank"), 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
+            blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\s\u00a0]")
+            return own.join(weak, "doc", "left").select("doc", "source", F.when(blank, 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 1_000):
                     b = whole.slice(at, 1_000)
-                    p = 1 / (1 + np.exp(-np.clip(_margins(*features(*(b[c].to_pylist() for c in ("text", "title", "status"))), w), -30, 30)))
-                    p = np.where(b["blank"].to_numpy(zero_copy_only=False), 1.0, p)
+                    p = probability(Tokens(b["text"].to_pylist()), b["title"].to_pylist(), b["status"].to_pylist(), w)
                     yield pa.RecordBatch.from_arrays([b["doc"], b["source"], pa.array(p)], ["doc", "source", "residue"])
 
         kind = {n: own.schema[n].dataType.simpleString() for n in ("doc", "source")}
-        return own.select("doc", "source", "text", "title", "status", "blank").mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, residue double")
+        return own.select("doc", "source", "text", "title", "status").mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, residue double")
 
     def cases(self) -> DataFrame:
         """doc of every text that holds no article."""
@@ -202,10 +231,13 @@ class Residue:
         return self.scored().join(known, "doc").groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
 
 
-def inputs(texts: DataFrame, articles: DataFrame) -> DataFrame:
-    """doc, source, text, title, status; an article's title and status are those of its first row."""
+def titles(articles: DataFrame) -> DataFrame:
+    """article_id, title, status: those of an article's first row."""
     first = articles.filter("article_id is not null").groupBy("article_id").agg(F.min_by(F.struct("headline", "collection_json"), "ingest_seq").alias("a"))
-    status = F.get_json_object("a.collection_json", "$.http_status").try_cast("int")
-    first = first.select("article_id", F.col("a.headline").alias("title"), status.alias("status"))
+    return first.select("article_id", F.col("a.headline").alias("title"), F.get_json_object("a.collection_json", "$.http_status").try_cast("int").alias("status"))
+
+
+def inputs(texts: DataFrame, articles: DataFrame) -> DataFrame:
+    """doc, source, text, title, status."""
     t = texts.select("article_id", F.col("source_id").alias("source"), F.col("content_text").alias("text"))
-    return t.join(first, "article_id", "left").withColumnRenamed("article_id", "doc")
+    return t.join(titles(articles), "article_id", "left").withColumnRenamed("article_id", "doc")
