@@ -67,7 +67,7 @@ def labelled_terms(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """term, subject, n: documents with the term and the label; a document with two labels counts half for each."""
     own = labels.filter("subject_id is not null").select(F.col("doc_id").alias("doc"), "subject_id").distinct()
     own = own.groupBy("doc").agg(F.sort_array(F.collect_set("subject_id")).alias("subjects"))
-    rows = docs.join(own, "doc").select("words", "subjects")
+    rows = docs.join(own, "doc").select(words(F.col("text")).alias("words"), "subjects")  # only labelled texts are split here
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,7 +119,7 @@ def sentences(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
             cut = lambda v, c: pa.ListArray.from_arrays(np.append(0, np.cumsum(c)).astype(np.int32), pa.array(v.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b["doc"], cut(k, terms_per_row), cut(ends, per_row), cut(n[ids] if len(ids) else n[:0], per_row)], ["doc", "terms", "sizes", "lengths"])
 
-    return docs.select("doc", "words").mapInArrow(run, f"doc {kind}, terms array<int>, sizes array<int>, lengths array<int>").filter("size(terms) > 0")
+    return docs.select("doc", words(F.col("text")).alias("words")).mapInArrow(run, f"doc {kind}, terms array<int>, sizes array<int>, lengths array<int>").filter("size(terms) > 0")
 
 
 def repeated_terms(rows: DataFrame, v: int) -> np.ndarray:
@@ -252,7 +252,7 @@ def leaf_mixtures(centres: np.ndarray, dist: np.ndarray) -> np.ndarray:
 class Subjects:
     def __init__(self, documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text"):
         self.scratch = Scratch(documents.sparkSession, "subjects")
-        docs = documents.filter(documents[text].isNotNull()).select(documents[key].alias("doc"), words(documents[text]).alias("words"))
+        docs = documents.filter(documents[text].isNotNull()).select(documents[key].alias("doc"), documents[text].alias("text"))
         prior = {r["subject_id"]: r["n"] for r in labels.filter("subject_id is not null").groupBy("subject_id").agg(F.count(F.lit(1)).alias("n")).collect()}
         total = sum(prior.values())
         self.vocabulary, self.dist, self.names = features(labelled_terms(docs, labels), {k: n / total for k, n in prior.items()})
