@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 #: Slots of the pair table, the score of a pair that sound text never has, and the least score of a run.
 SLOTS, UNSEEN, LEAST = 1 << 20, -4.0, 3.0
 #: Of the other wrong encodings, which are rare, an outcome must be free of unseen pairs.
-USUAL = {"cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437"}
+USUAL = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437")
 #: (wrong, right) encodings tried, most usual first.
 INVERSES = (
     ("cp1252", "utf-8"), ("latin-1", "utf-8"), ("cp1250", "utf-8"), ("mac_roman", "utf-8"), ("cp437", "utf-8"), ("cp850", "utf-8"), ("cp1251", "utf-8"), ("koi8-r", "utf-8"), ("cp866", "utf-8"), ("iso8859-2", "utf-8"), ("iso8859-15", "utf-8"), ("cp1254", "utf-8"), ("mac_cyrillic", "utf-8"), ("cp852", "utf-8"),
@@ -245,6 +245,15 @@ def _apply(text: str, runs: list[tuple[int, int]], score: Scores) -> str | None:
     return "".join(out) if changed else None
 
 
+def _well_formed(values: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = [all(_sequences(x, w) is None for w in USUAL) for x in b["value"].to_pylist()]
+            yield b.filter(pa.array(ok, pa.bool_()))
+
+    return values.mapInArrow(run, "value string")
+
+
 def values(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """ingest_seq, field, value, known (the hash at collection), sound (it still fits)."""
     prints = fingerprints.select("article_id", "headline_hash", "summary_hash").filter("article_id is not null").dropDuplicates(["article_id"])
@@ -259,8 +268,8 @@ def repaired(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
     spark = articles.sparkSession
     v = values(articles, fingerprints)
     counts = pair_counts(v.filter("sound").select("value")).toArrow()
-    if not counts.num_rows:  # nothing is known to be sound: the corpus speaks for itself
-        counts = pair_counts(v.select("value")).toArrow()
+    if not counts.num_rows:  # nothing is known to be sound: the values that hold no sequence a wrong decoding makes must do
+        counts = pair_counts(_well_formed(v.select("value"))).toArrow()
     table = spark.sparkContext.broadcast(Scores(counts["slot"].to_numpy(), counts["n"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

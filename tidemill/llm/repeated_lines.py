@@ -200,5 +200,5 @@ class RepeatedLines:
         lines = F.split(F.col(f"`{self.text}`"), "\n", -1)
         keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__covered", F.coalesce(line_id(x), F.lit(0))), F.lit(False)))
         rest = F.when(F.col("__covered").isNull(), F.col(f"`{self.text}`")).otherwise(F.array_join(keep, "\n"))
-        removed = F.when(F.col("__covered").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(keep))
+        removed = F.when(F.col("__covered").isNull() | F.col(f"`{self.text}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(keep))
         return left.select(*mine, rest.alias(self.text), removed.alias("lines_removed"))
