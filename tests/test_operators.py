@@ -91,3 +91,17 @@ def test_cohesion(spark):
     df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string")
     got = {r["i"]: r["s"] for r in df.select("i", cohesion.strength(cohesion.words(F.col("a")), cohesion.words(F.coalesce("b", F.lit("")))).alias("s")).collect()}
     assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_passages(spark):
+    from tidemill.functions.passages import LIMIT, explode_passages, passages
+
+    assert passages("Dr. Vo met J. Oak at 5 p.m. on Monday. They left. No!  The bridge\nfell down.") == ["Dr. Vo met J. Oak at 5 p.m. on Monday. They left.", "The bridge fell down."]
+    assert passages(None) == passages("") == passages(" \n ") == []
+    rng = random.Random(2)
+    for _ in range(30):
+        t = " ".join(rng.choice(["word", "It", "x" * 400, "End.", "Dr.", "next?", "“so,”", "and"]) for _ in range(rng.randint(1, 200)))
+        flat, got = " ".join(t.split()), passages(t)
+        assert all(q in flat and len(q) <= LIMIT for q in got)
+    df = spark.createDataFrame([(1, "A first sentence. A second one."), (2, None)], "k int, t string")
+    assert [(r["k"], r["position"], r["quote"]) for r in explode_passages(df, "k", "t").collect()] == [(1, 0, "A first sentence."), (1, 1, "A second one.")]

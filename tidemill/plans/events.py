@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions import cohesion, text, times
+from tidemill.functions import cohesion, passages, text, times
 from tidemill.operators import grouping, matching
 from tidemill.plans import articles as base
 from tidemill.session import table
@@ -119,3 +119,9 @@ def f_star_top_nations(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_custkey", "o_orderpriority", "o_totalprice").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
     c = o.groupBy("c_nationkey", "o_orderpriority").agg(F.sum("o_totalprice").alias("t"), F.count(F.lit(1)).alias("orders")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return grouping.top_per_group(c, "o_orderpriority", [F.desc("t"), F.col("n_name")], 3).select("n_name", "o_orderpriority", F.round("t", 2).alias("total"), "orders", "place")
+
+
+@query()
+def i_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Passages of every article's text that can be quoted as evidence."""
+    return passages.explode_passages(table(spark, d, "article_texts").select("article_id", "content_text"), "article_id", "content_text")
