@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import STOPWORDS
 
-# Words that say how a report is made, not what it is about.
-GENERIC = "analysis briefing case cases day days deal live man news people plan police report reports review week weeks woman world year years".split()
-#: Format labels that may stand, even repeatedly, before a headline.
-_LABEL = r"^(?i)(?:(?:analysis|breaking|corrected|exclusive|explainer|live|opinion|photos|update|updated|video|watch)\s*[:|—-]\s*)+"
+# Words of formats, which count as stop words here too; words too general to hold two headlines together.
+FORMAT_WORDS = "analysis briefing check explainer fact focus here live old opinion photo photos picture pictures takeaway takeaways thing things update updates video watch year".split()
+GENERIC = (
+    "administration advice america american americans case cases cells city claim claims concern concerns crisis decision district day dead deadly death deaths executive government health issue issues killed killing kills letter man memorial media open order people plan plans policy president probe program proposal researchers review school scientists social story warning warnings war weekend"
+).split()
+# Labels that may stand, even repeatedly, before a headline.
+LABELS = r"fact\s+focus|fact\s+check|explainer|analysis|opinion|live\s+updates?|in\s+pictures|photos?|video|watch|what\s+to\s+know|things\s+to\s+know|\d+\s+(?:big\s+)?takeaways?"
+_LABEL = rf"(?i)^\s*(?:(?:{LABELS})\s*(?::|--|-|\.)?\s*)+"
 
 
 def words(headline: Column) -> Column:
     """Distinct structs of a word in lower case and whether it is an anchor (a number, an acronym, a name) and not generic."""
     raw = F.regexp_extract_all(F.regexp_replace(headline, _LABEL, ""), F.lit(r"([A-Za-z0-9]+)"), F.lit(1))
-    keep = F.filter(raw, lambda w: ~F.lower(w).isin(*STOPWORDS) & ((F.length(w) >= 3) | ((F.length(w) >= 2) & (w.rlike(r"^[A-Z]+$") | w.rlike(r"[0-9]")))))
+    keep = F.filter(raw, lambda w: ~F.lower(w).isin(*STOPWORDS, *FORMAT_WORDS) & ((F.length(w) >= 3) | ((F.length(w) >= 2) & (w.rlike(r"^[A-Z]+$") | w.rlike(r"[0-9]")))))
     return F.array_distinct(F.transform(keep, lambda w: F.struct(F.lower(w).alias("w"), (w.rlike(r"^[A-Z]|[0-9]") & ~F.lower(w).isin(*GENERIC)).alias("anchor"))))
 
 

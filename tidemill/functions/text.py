@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Words that carry no topic in titles, keywords and slugs.
 STOPWORDS = (
-    "a about after all also am an and any are as at be because been before being but by can could did do does for from had has have he her here him his how i if in into is it its just more most my new no not now of off on one only or other our out over said says she so some such than that the their them then there these they this those to under up us was we were what when where which while who why will with would year years you your"
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its itself just me more most my myself no nor not of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why with would you your yours yourself yourselves "
+    "news says said amid report reports according u s us"
 ).split()
 
 
@@ -31,7 +32,7 @@ def keyword_tokens(text: Column) -> Column:
 
 def title_tokens(text: Column) -> Column:
     """The distinct words of a title that may match another title."""
-    return F.array_distinct(F.filter(title_words(text), lambda w: (F.length(w) >= 3) & ~w.isin(*STOPWORDS)))
+    return F.array_distinct(F.filter(title_words(text), lambda w: ~w.isin(*STOPWORDS)))
 
 
 def summary_fallback(text: Column, limit: int = 300) -> Column:

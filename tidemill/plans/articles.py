@@ -257,7 +257,7 @@ def e_dynamic_stopwords(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TITLES = f"""{_FIRST}, ev AS (SELECT event_id, arg_min(headline, (length(headline) < 20, length(headline), ingest_seq)) AS title FROM first WHERE event_id IS NOT NULL AND headline IS NOT NULL GROUP BY 1),
-tok AS (SELECT event_id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({_STOP}))) AS ws FROM ev), one AS (SELECT event_id, unnest(ws) AS w, len(ws) AS n FROM tok)"""
+tok AS (SELECT event_id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))) AS ws FROM ev), one AS (SELECT event_id, unnest(ws) AS w, len(ws) AS n FROM tok)"""
 
 
 def event_titles(spark: SparkSession, d: str) -> DataFrame:
