@@ -120,3 +120,51 @@ def test_hot_group_of_copies_and_empty(spark):
     assert got == {(1, k) for k in range(2, 91)}
     a, w = tables(spark, rows, words)
     assert H.Batch(a.limit(0), w).decide().count() == 0
+
+
+def hot_groups(seed, families=4, n=150):
+    """Copies that all share most of a frame: every chunk is hot. The first copy of a family repeats an older address."""
+    rng = random.Random(seed)
+    frame = [f"f{i}" for i in range(60)]
+    bases = [frame + [f"b{f}.{i}" for i in range(30)] for f in range(families)]
+    rows, words = [], {}
+    for f in range(families):
+        rows.append((f + 1, f"z{f}", "s", f"https://h.example/z{f}", None, None))
+        words[f"z{f}"] = [f"z{f}.{i}" for i in range(50)]
+        w = list(bases[f])
+        for q in rng.sample(range(90), 2):
+            w[q] = f"y{f}.{q}"
+        rows.append((families + f + 1, f"y{f}", "s", f"https://h.example/z{f}", None, None))
+        words[f"y{f}"] = w
+    for k in range(n):
+        w = list(bases[rng.randrange(families)])
+        for q in rng.sample(range(90), rng.choice([1, 2, 3])):
+            w[q] = f"n{k}.{q}"
+        # Some are copies of addresses, too.
+        page = f"https://h.example/{k if rng.random() < 0.9 else rng.randrange(n)}"
+        rows.append((2 * families + k + 1, f"a{k}", "s", page, None, None))
+        words[f"a{k}"] = w
+    return rows, words
+
+
+def in_batches(spark, path, rows, words, cuts):
+    past, got = H.History(spark, path), set()
+    for lo, hi in zip(cuts, cuts[1:]):
+        b = H.Batch(*tables(spark, rows[lo:hi], {r[1]: words[r[1]] for r in rows[lo:hi]}), past)
+        found = b.decide()
+        got |= {tuple(r) for r in found.collect()}
+        b.accept(found)
+    return got
+
+
+def test_hot_group_whose_first_row_is_a_repetition(spark, tmp_path):
+    rows, words = hot_groups(3, families=1, n=80)
+    rows = [r[:3] + (f"https://h.example/{r[1]}", *r[4:]) if r[1][0] == "a" else r for r in rows]
+    got = {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()}
+    assert (1, 2) in got and got == brute(rows, words) and len(got) >= 75
+    assert in_batches(spark, str(tmp_path), rows, words, (0, 20, 50, len(rows))) == got
+
+
+def test_hot_groups_against_brute_force(spark):
+    rows, words = hot_groups(5)
+    assert {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()} == brute(rows, words)

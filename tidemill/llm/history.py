@@ -11,9 +11,12 @@ to a large part is crowded, and meets the other crowded ones in the rarest of th
 texts' chunks and keys are appended to the table; a later batch reads from it only what its own
 chunks and keys meet, never the texts of the history at large.
 
-Hot groups: equal texts are one text. A hot chunk pairs each of its crowded texts with the earliest one
-only; those that match are out, and the rest meets the next 4, 16, 64 ... until all have met. Copies of one text
-match its first and are out after the first round, so no step emits all pairs of a group.
+Hot groups: equal texts are one text. The links found outside hot chunks are decided first; only crowded texts with an
+accepted row then meet in hot chunks. A chunk pairs each of them with the earliest accepted one only; those that match are
+out, and the rest meets the next 4, 16, 64 ... until all have met. Copies of one text match its first and are out after
+the first round, so no step emits all pairs of a group. Then all is decided again: texts that have an accepted row though
+they were out (their leader turned out to be a repetition) meet the other accepted ones anew, until no text is left that has an
+accepted row and hasn't met all others that have one. At last repetitions meet the accepted texts before their kept row.
 
 The order of decisions is kept by rounds: a row is accepted once no undecided earlier row could be
 its original, and is a repetition as soon as an accepted earlier one is. The kept row is the earliest.
@@ -202,8 +205,8 @@ class Batch:
         self.texts = self.scratch.keep(first.join(own, "doc").select("text", "same", "words", "bytes"))
         self.cut = self.scratch.keep(chunks(self.texts))
 
-    def near(self) -> DataFrame:
-        """same_a, same_b: texts that are the same but for a tenth of their words, the earlier one first."""
+    def _met(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """a, b: near texts that share enough in chunks that aren't hot; chunks, text of crowded texts in hot chunks; chunks and sizes of all texts."""
         h = self.history
         old = h.read("chunks", "text bigint, chunks array<bigint>, sizes array<int>") if h else None
         mine = self.cut.withColumn("new", F.lit(True))
@@ -225,21 +228,59 @@ class Batch:
         crowded = hot_bytes.filter(F.col("hot") > CROWDED * F.col("total")).select("text")
         left_over = F.sum("sizes").over(Window.partitionBy("text").orderBy(F.desc("df"), "chunks"))
         left = look.filter(F.col("df") > HOT).join(crowded, "text").withColumn("rest", left_over).filter(F.col("rest") > CROWDED * F.col("total")).select("chunks", "text", "new")
-        left, leaders = self.scratch.keep(left), 1
+        left = self.scratch.keep(left.select("chunks", "text", "new"))
         self.scratch.drop(postings)
-        cut = mine.select("text", "chunks", "sizes")
+        return found, left, mine.select("text", "chunks", "sizes")
+
+    def _covered(self, met: DataFrame, cut: DataFrame) -> DataFrame:
+        """The pairs of ``met`` with enough coverage whose words confirm it."""
         x, y = cut.select(F.col("text").alias("a"), F.struct("chunks", "sizes").alias("x")), cut.select(F.col("text").alias("b"), F.struct("chunks", "sizes").alias("y"))
-        while not left.isEmpty():
-            lead = self.scratch.keep(left.withColumn("place", F.row_number().over(Window.partitionBy("chunks").orderBy("text"))).filter(F.col("place") <= leaders).drop("place"))
-            ahead = lead.select("chunks", F.col("text").alias("a"), F.col("new").alias("na"))
-            met = left.join(ahead, "chunks").filter("a < text and (na or new)").select("a", F.col("text").alias("b")).distinct()
-            got = self._confirmed(met.join(x, "a").join(y, "b").filter(_coverage("x", "y") >= COVER).select("a", "b"))
-            found = found.union(got)
-            rest = left.join(lead, ["chunks", "text"], "left_anti").join(got.select(F.col("b").alias("text")), "text", "left_anti")
-            following = self.scratch.keep(rest.select("chunks", "text", "new"))
-            self.scratch.drop(left)
-            left, leaders = following, leaders * 4
-        return self.scratch.keep(found.distinct())
+        return self._confirmed(met.join(x, "a").join(y, "b").filter(_coverage("x", "y") >= COVER).select("a", "b"))
+
+    def _crowd(self, left: DataFrame) -> DataFrame:
+        """text, new, same, n (words), past (accepted row of the history) of the texts in ``left``."""
+        names = self.texts.select("text", "same", F.size("words").alias("n"), F.lit(None).cast("bigint").alias("past"))
+        if self.history:
+            old = self.history.read("texts", "text bigint, same bigint, words array<bigint>").select("text", "same", F.size("words").alias("n"), F.xxhash64(F.lit("text"), F.col("same")).alias("key"))
+            seq = self.history.read("keys", "key bigint, seq bigint").groupBy("key").agg(F.min("seq").alias("past"))
+            names = names.unionByName(old.join(seq, "key").drop("key"))
+        return self.scratch.keep(left.select("text", "new").distinct().join(names, "text"))
+
+    def _alive(self, crowd: DataFrame, state: DataFrame) -> DataFrame:
+        """The texts of ``crowd`` that have an accepted row, with the earliest one's seq ``p``."""
+        ok = self.rows.filter("same is not null").join(state.filter("state = 2"), "seq", "left_anti").groupBy("same").agg(F.min("seq").alias("first"))
+        own = crowd.join(ok, "same", "left").withColumn("p", F.when(F.col("new"), F.col("first")).otherwise(F.col("past")))
+        return self.scratch.keep(own.filter("p is not null").select("text", "n", "p"))
+
+    def _lead(self, left: DataFrame, alive: DataFrame, tested: DataFrame | None, links: DataFrame | None, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links among the texts in ``alive``, the earliest ones leading, and the texts of them that have met all others.
+
+        ``tested`` have met each other before; ``links`` are those that earlier calls found.
+        """
+        here = left.join(alive, "text")
+        if tested is None:
+            here = here.withColumn("fresh", F.lit(True))
+        else:
+            here = here.join(tested.select("text", F.lit(False).alias("known")), "text", "left").withColumn("fresh", F.col("known").isNull()).drop("known")
+            here = here.join(here.filter("fresh").select("chunks").distinct(), "chunks", "left_semi")
+        cur, leaders, found = self.scratch.keep(here), 1, None
+        while not cur.isEmpty():
+            place = F.row_number().over(Window.partitionBy("chunks").orderBy("p", "text"))
+            lead = self.scratch.keep(cur.withColumn("place", place).filter(F.col("place") <= leaders).drop("place"))
+            ahead = lead.select("chunks", *(F.col(c).alias(f"a_{c}") for c in ("text", "new", "n", "p", "fresh")))
+            met = cur.join(ahead, "chunks").filter("(a_p < p or a_p = p and a_text < text) and (a_new or new) and (a_fresh or fresh)").filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
+            met = met.select(F.col("a_text").alias("a"), F.col("text").alias("b")).distinct()
+            met = met if links is None else met.join(links, ["a", "b"], "left_anti")
+            got = self._covered(met, cut)
+            found = got if found is None else found.union(got)
+            # Texts of the history are accepted, whatever they match.
+            rest = cur.join(lead, ["chunks", "text"], "left_anti").join(got.select(F.col("b").alias("text"), F.lit(True).alias("out")).distinct(), "text", "left").filter("out is null or not new").drop("out")
+            following = self.scratch.keep(rest)
+            self.scratch.drop(cur, lead)
+            cur, leaders = following, leaders * 4
+        old = left.filter("not new").select("text").distinct()
+        out = found.select(F.col("b").alias("text")).distinct().join(old, "text", "left_anti")
+        return found, self.scratch.keep(alive.select("text").join(out, "text", "left_anti"))
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose words are the same in order but for the tolerated share."""
@@ -254,7 +295,34 @@ class Batch:
 
     def decide(self) -> DataFrame:
         """kept_seq, dup_seq of every row that repeats an accepted one."""
-        near, rows = self.near(), self.rows
+        found, left, cut = self._met()
+        state, repeats = self._decided(found)
+        if left.isEmpty():
+            return repeats
+        crowd, tested, links = self._crowd(left), None, None
+        while True:
+            alive = self._alive(crowd, state)
+            fresh = alive if tested is None else alive.join(tested, "text", "left_anti")
+            if fresh.isEmpty():
+                break
+            got, tested = self._lead(left, alive, tested, links, cut)
+            links = self.scratch.keep(got if links is None else links.union(got).distinct())
+            state, repeats = self._decided(found.union(links))
+        # The kept row is the earliest: accepted texts that a repetition left before it met them.
+        last = repeats.join(self.rows.select(F.col("seq").alias("dup_seq"), "same"), "dup_seq").groupBy("same").agg(F.max("kept_seq").alias("kept"))
+        gone = crowd.filter("new").join(alive.select("text"), "text", "left_anti").join(last, "same").select("text", "same", "n", "kept")
+        ahead = left.join(alive, "text").select("chunks", F.col("text").alias("a"), F.col("n").alias("a_n"), "p")
+        met = left.select("chunks", "text").join(gone, "text").join(ahead, "chunks").filter(F.col("p") < F.col("kept")).filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
+        met = met.select("a", F.col("text").alias("b")).distinct()
+        known = found.union(links)
+        met = met.join(known.select("a", "b").union(known.select("b", "a")), ["a", "b"], "left_anti")
+        got = self._covered(met, cut).join(alive.select(F.col("text").alias("a"), "p"), "a").groupBy(F.col("b").alias("text")).agg(F.min("p").alias("p"))
+        earlier = self.rows.select(F.col("seq").alias("dup_seq"), "same").join(got.join(crowd.select("text", "same"), "text").select("same", "p"), "same").select("dup_seq", "p")
+        return repeats.join(earlier, "dup_seq", "left").select(F.least("kept_seq", "p").alias("kept_seq"), "dup_seq")
+
+    def _decided(self, near: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """seq, state of the rows that any link or key could decide; kept_seq, dup_seq of the repetitions."""
+        rows = self.rows
         text_key = lambda c: F.xxhash64(F.lit("text"), c)
         name = self.texts.select("same", "text")
         if self.history:
@@ -286,8 +354,9 @@ class Batch:
             following = self.scratch.keep(state.join(seen, "seq", "left").select("seq", to.alias("state")))
             self.scratch.drop(state)
             state = following
-        self.state = state
-        return state.filter("state = 2").join(accepted, "seq").select(F.col("acc").alias("kept_seq"), F.col("seq").alias("dup_seq"))
+        repeats = self.scratch.keep(state.filter("state = 2").join(accepted, "seq").select(F.col("acc").alias("kept_seq"), F.col("seq").alias("dup_seq")))
+        self.scratch.drop(own, look)
+        return state, repeats
 
     def accept(self, repetitions: DataFrame) -> None:
         """Appends the batch's accepted rows to the history."""
