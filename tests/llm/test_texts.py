@@ -146,6 +146,18 @@ def test_residue(spark):
     assert residue.Residue(t.limit(0), a).cases().count() == 0
 
 
+def test_validation_counts_all_texts_of_unseen_hosts(spark):
+    a, t, _ = _articles(spark, residue.SAMPLE + 1_000)
+    status = {r["article_id"]: r["status"] for r in residue.titles(a).collect()}
+    want = {}
+    for r in t.filter(residue._unseen("source_id")).collect():
+        label = residue.weak_label(r["content_text"], status.get(r["article_id"]))
+        if label is not None:
+            want[int(label)] = want.get(int(label), 0) + 1
+    got = {r["label"]: (r["texts"], r["agreed"]) for r in residue.Residue(t, a).validation().collect()}
+    assert want and {k: n for k, (n, _) in got.items()} == want and all(n == k for n, k in got.values())
+
+
 def test_subjects(spark):
     rng = random.Random(4)
     terms = {"law": ["court", "plea", "jury", "verdict"], "sport": ["match", "league", "coach", "goal"], "music": ["song", "opera", "choir", "tune"]}

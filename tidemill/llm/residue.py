@@ -5,7 +5,7 @@ A regularised linear classifier over whole texts. Features: hashed word and punc
 labels: phrases of residue at a line's start, or a bad response status, in a text that has no line
 of prose; and texts with lines of prose and none of the phrases. Texts that are neither are not
 used for training. Hosts whose hash falls into the held-out share take no part in the training
-either; ``validate`` gives the agreement on them.
+either; ``validation`` gives the agreement on all their labelled texts.
 
 The training rows are a bounded sample: the ``SAMPLE`` texts with the smallest hashes of the key, as far as
 they get a label, and no more than ``TRAIN_ROWS`` of either; every text is scored.
@@ -210,25 +210,32 @@ class Residue:
             blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\s\u00a0]")
             return own.join(weak, "doc", "left").select("doc", "source", F.when(blank, 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
 
+        return self._score(own, "doc", "source")
+
+    def _score(self, rows: DataFrame, *keep: str) -> DataFrame:
+        """The ``keep`` columns of the rows, and residue by the fitted model."""
+        w = self.weights
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for at in range(0, whole.num_rows, 1_000):
                     b = whole.slice(at, 1_000)
                     p = probability(Tokens(b["text"].to_pylist()), b["title"].to_pylist(), b["status"].to_pylist(), w)
-                    yield pa.RecordBatch.from_arrays([b["doc"], b["source"], pa.array(p)], ["doc", "source", "residue"])
+                    yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(p)], [*keep, "residue"])
 
-        kind = {n: own.schema[n].dataType.simpleString() for n in ("doc", "source")}
-        return own.select("doc", "source", "text", "title", "status").mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, residue double")
+        kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
+        return rows.select(*keep, "text", "title", "status").mapInArrow(run, f"{kinds}, residue double")
 
     def cases(self) -> DataFrame:
         """doc of every text that holds no article."""
         return self.scored().filter(F.col("residue") > CASE).select("doc").distinct()
 
     def validation(self) -> DataFrame:
-        """The sample's rows, and their agreement with the weak labels, on the hosts the training never saw."""
-        known = self.sample.filter(_unseen()).select("doc", "label").distinct()
+        """All rows with a weak label on the hosts the training never saw, and their agreement with it."""
+        known = weak_labels(self.inputs.filter(_unseen())).filter("label is not null")
+        scored = known.withColumn("residue", F.col("label")) if self.weights is None else self._score(known, "label")
         right = (F.col("residue") > CASE) == (F.col("label") == 1.0)
-        return self.scored().join(known, "doc").groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
+        return scored.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
 
 
 def titles(articles: DataFrame) -> DataFrame:
