@@ -121,6 +121,20 @@ def test_own_lines():
     assert boilerplate.own_lines(["x " * 100_000], [False]) == [1]
 
 
+def test_windows_decide_every_line(monkeypatch):
+    text = ["The council moved its office from the old town to the harbour after long complaints."] * 3
+    notice = "We and our partners store cookies on your device. " * 4 + "Read our privacy notice, change your preferences or withdraw your consent at any time. " * 3
+    assert len(notice) > 400 and boilerplate.own_lines(["Menu of the day", notice, "Short head", *text], [False] * 6) == [0, 0, 0, 1, 1, 1]
+    tag = "<div data-x='" + "y" * 2_000 + "'>Menu</div>"
+    page = [tag, "A headline that leads elsewhere", "Another headline that leads elsewhere", text[0], "A heading of this text here", text[0], "- North: 12", "- South: 4", "A headline that leads elsewhere", "Another one of these here", text[0], "A heading after it all"]
+    own = [0, 0, 0, 1, 1, 1, 1, 1, 0, 0, 1, 1]
+    assert boilerplate.own_lines(page, [False] * 12) == own
+    # A row that stands in no surge is foreign, whatever its form.
+    assert boilerplate.own_lines(["- N: 1", "A headline that leads elsewhere"], [False, False]) == [0, 0]
+    monkeypatch.setattr(boilerplate, "SURGE", float("inf"))
+    assert not any(x == 1 for x in boilerplate.own_lines(page, [False] * 12))
+
+
 def _articles(spark, n=160):
     rng = random.Random(8)
     topic = _words(rng, 60)

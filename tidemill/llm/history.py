@@ -67,14 +67,8 @@ def _key(kind: str, *parts: Column) -> Column:
 
 def own_words(texts: DataFrame, articles: DataFrame) -> DataFrame:
     """doc, words (hashes in order), bytes (their lengths) of the own prose of every text that holds an article."""
-    model = residue.Residue(texts, articles)
-    weights = model.weights
     lines = repeated_lines.RepeatedLines(texts, keep=("content_text",))
-    rows = boilerplate.flagged(texts, lines=lines)
-    if weights is None:
-        rows = rows.join(model.cases(), F.col("article_id") == F.col("doc"), "left_anti").withColumns({"title": F.lit(None).cast("string"), "status": F.lit(None).cast("int")})
-    else:
-        rows = rows.join(residue.titles(articles), "article_id", "left")
+    rows, weights = boilerplate.scored(boilerplate.flagged(texts, lines=lines), residue.Residue(texts, articles), articles)
     kind = texts.schema["article_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

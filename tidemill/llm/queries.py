@@ -41,10 +41,7 @@ def p7_unseen_hosts(spark: SparkSession, d: str) -> DataFrame:
 
 def _page_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of web pages that hold an article."""
-    texts = table(spark, d, "article_texts")
-    without = residue.Residue(texts, table(spark, d, "articles")).cases()
-    lines = boilerplate.marked(texts, "extractor", only="extractor = 'readability'")
-    return lines.join(without, lines["article_id"] == without["doc"], "left_anti")
+    return boilerplate.marked(table(spark, d, "article_texts"), table(spark, d, "articles"), "extractor = 'readability'")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
