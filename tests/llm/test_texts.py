@@ -145,11 +145,11 @@ def _articles(spark, n=160):
         if k % 8 == 0:
             text = rng.choice([f"Error 404\nNothing lives here. Ref {k}", "{{ headline }}\n{{ body }}", "Please enable JavaScript to continue.", "Access denied\nTick the box.", "Lorem ipsum dolor consec adipis elitum veniam irure cillum fugiat."])
             bad.add(f"a{k}")
-        rows.append((k, f"a{k}", title, '{"http_status": 200}'))
+        rows.append((k, f"a{k}", title, '{"http_status": 200}', f"https://h{k % 9}.example/{k}"))
         texts.append((f"a{k}", f"s{k % 9}", text))
-    rows += [(n, None, "x", None)]
+    rows += [(n, None, "x", None, None)]
     texts += [("empty", "s1", ""), ("null", None, None)]
-    return spark.createDataFrame(rows, "ingest_seq bigint, article_id string, headline string, collection_json string"), spark.createDataFrame(texts, "article_id string, source_id string, content_text string"), bad | {"empty", "null"}
+    return spark.createDataFrame(rows, "ingest_seq bigint, article_id string, headline string, collection_json string, url string"), spark.createDataFrame(texts, "article_id string, source_id string, content_text string"), bad | {"empty", "null"}
 
 
 def test_residue(spark):
@@ -162,16 +162,21 @@ def test_residue(spark):
 
 def test_validation_counts_all_texts_of_unseen_hosts(spark):
     a, t, _ = _articles(spark, residue.SAMPLE + 1_000)
-    status = {r["article_id"]: r["status"] for r in residue.titles(a).collect()}
     want = {}
-    for r in t.filter(residue._unseen("source_id")).collect():
-        label = residue.weak_label(r["content_text"], status.get(r["article_id"]))
+    for r in residue.inputs(t, a).filter(residue._unseen()).collect():
+        label, phrase = residue.weak_label(r["text"], r["status"])
         if label is not None:
-            want[int(label)] = want.get(int(label), 0) + 1
-    got = {r["label"]: (r["texts"], r["agreed"]) for r in residue.Residue(t, a).validation().collect()}
+            want[int(label), int(phrase)] = want.get((int(label), int(phrase)), 0) + 1
+    got = {(r["label"], r["phrase"]): (r["texts"], r["agreed"]) for r in residue.Residue(t, a).validation().collect()}
     assert want and {k: n for k, (n, _) in got.items()} == want and all(n == k for n, k in got.values())
 
 
+def test_hosts_are_those_of_the_addresses(spark):
+    rows = [(1, "a", "t", None, "https://user@WWW.News.example:443/x?y"), (2, "b", "t", "{}", "news.example"), (3, "c", "t", "x", None)]
+    a = spark.createDataFrame(rows, "ingest_seq bigint, article_id string, headline string, collection_json string, url string")
+    assert {r["article_id"]: r["host"] for r in residue.titles(a).collect()} == {"a": "www.news.example", "b": "news.example", "c": None}
+
+
 def test_subjects(spark):
     rng = random.Random(4)
     terms = {"law": ["court", "plea", "jury", "verdict"], "sport": ["match", "league", "coach", "goal"], "music": ["song", "opera", "choir", "tune"]}

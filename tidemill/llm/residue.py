@@ -2,10 +2,10 @@
 
 A regularised linear classifier over whole texts. Features: hashed word and punctuation n-grams
 (one and two long), lengths, and how much of the title occurs in the text. It is trained on weak
-labels: phrases of residue at a line's start, or a bad response status, in a text that has no line
+labels: phrases of residue at a line's start, a placeholder, or a bad response status, in a text that has no line
 of prose; and texts with lines of prose and none of the phrases. Texts that are neither are not
-used for training. Hosts whose hash falls into the held-out share take no part in the training
-either; ``validation`` gives the agreement on all their labelled texts.
+used for training. Hosts (of the article's address) whose hash falls into the held-out share take no part in the training
+either; ``validation`` gives the agreement on all their labelled texts, those without any phrase apart.
 
 The training rows are a bounded sample: the ``SAMPLE`` texts with the smallest hashes of the key, as far as
 they get a label, and no more than ``TRAIN_ROWS`` of either; every text is scored.
@@ -41,8 +41,7 @@ PHRASES = (
     r"página no(t| )? ?(encontrada|found)", r"página não encontrada", r"page introuvable", r"страница не найдена", r"(access denied|forbidden|unauthorized)$", r"you have been blocked", r"are you a robot", r"checking your browser",
     r"(please )?(enable|turn on|switch on|activate) (javascript|scripts|cookies)", r"you need to (enable|switch on|turn on)", r"javascript is (disabled|required)", r"activez javascript", r"(bitte )?aktivieren sie javascript", r"(active|ative|activa) (el )?javascript",
     r"loading\W", r"your session has (ended|expired)", r"(fatal error|warning|notice|parse error): ", r"traceback \(most recent call last\)", r"[a-z]*(error|exception): ", r"undefined undefined|nan undefined|\[object object\]",
-    r"this is a test (article|post|story)", r"(headline|title|body|intro|text|dummy headline)( \p{L}+){0,6} (goes here|over two lines|to come)", r"(slug: )?tk tk", r"title title|text text text|xxxxx? xxxx",
-    r"(\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)", r"the mayor of (\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)",
+    r"this is a test (article|post|story)", r"(headline|title|body|intro|text)( \p{L}+){0,6} (goes here|to come)", r"tk tk\b", r"(\{\{|\{%|<%|\$\{|%%|@@|\[\[|__)",
 )
 # The first five letters of filler words.
 FILLER = frozenset(("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo", "incid", "labor", "magna", "aliqu", "minim", "venia", "nostr", "exerc", "ullam", "commo", "irure", "velit", "cillu", "fugia", "nulla", "paria", "excep", "occae", "cupid", "culpa", "offic", "molli", "sedro", "sinte", "elitu", "quist"))
@@ -119,37 +118,39 @@ def features(tokens: Tokens, titles: list[str | None], status: list[int | None])
     return slot[order], n + np.bincount(row[:-1][both], minlength=len(n)), plain
 
 
-def weak_label(text: str | None, status: int | None) -> float | None:
-    """1 for residue or a bad status without a line of prose, 0 for prose without residue, else None; None for blank texts."""
+def weak_label(text: str | None, status: int | None) -> tuple[float | None, bool]:
+    """1 for residue or a bad status without a line of prose, 0 for prose without residue, else None; None for blank texts.
+    With it, whether a phrase, placeholder or filler line was there."""
     hit = prose = False
     for line in (text or "").lower().splitlines():
         words = line.split()
         if words:
             line = " ".join(words)
             filler = sum(w[:5] in FILLER for w in words)
-            phrase = len(line) <= 250 and bool(_BEGINS.match(line))
-            hit |= phrase or filler * 2 > len(words)
-            prose |= len(words) >= 10 and not phrase and filler * 3 < len(words) and not _MARK.search(line)
+            mark = bool(_MARK.search(line))
+            phrase = bool(_BEGINS.match(line))
+            hit |= phrase or mark or filler * 2 > len(words)
+            prose |= len(words) >= 10 and not phrase and filler * 3 < len(words) and not mark
     if not text or text.isspace():
-        return None
-    return 1.0 if not prose and (hit or (status or 0) >= 400) else 0.0 if prose and not hit else None
+        return None, hit
+    return (1.0 if not prose and (hit or (status or 0) >= 400) else 0.0 if prose and not hit else None), hit
 
 
 def weak_labels(docs: DataFrame) -> DataFrame:
-    """The rows, of which ``docs`` has doc, source, text, title, status, with their label."""
-    kind = {n: docs.schema[n].dataType.simpleString() for n in ("doc", "source")}
-    names = ["doc", "source", "text", "title", "status"]
+    """The rows, of which ``docs`` has doc, host, text, title, status, with their label and whether they have a phrase."""
+    kind = docs.schema["doc"].dataType.simpleString()
+    names = ["doc", "host", "text", "title", "status"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            label = pa.array([weak_label(t, s) for t, s in zip(b["text"].to_pylist(), b["status"].to_pylist())], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), label], [*names, "label"])
+            weak = [weak_label(t, s) for t, s in zip(b["text"].to_pylist(), b["status"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array([x for x, _ in weak], pa.float64()), pa.array([h for _, h in weak], pa.bool_())], [*names, "label", "phrase"])
 
-    return docs.select(*names).mapInArrow(run, f"doc {kind['doc']}, source {kind['source']}, text string, title string, status int, label double")
+    return docs.select(*names).mapInArrow(run, f"doc {kind}, host string, text string, title string, status int, label double, phrase boolean")
 
 
-def _unseen(source: str = "source") -> Column:
-    return F.pmod(F.xxhash64(F.coalesce(F.col(source), F.lit(""))), F.lit(100)) < HELD_OUT
+def _unseen(host: str = "host") -> Column:
+    return F.pmod(F.xxhash64(F.coalesce(F.col(host), F.lit(""))), F.lit(100)) < HELD_OUT
 
 
 def _margins(flat: np.ndarray, sizes: np.ndarray, plain: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -192,6 +193,7 @@ class Residue:
         few = inputs(texts.join(keys, "article_id", "left_semi"), articles.join(keys, "article_id", "left_semi"))
         self.sample = self.scratch.keep(weak_labels(few).filter("label is not null"))
         self.weights = self._train()
+        self.scratch.drop(self.sample)
 
     def _train(self) -> np.ndarray | None:
         seen = self.sample.filter(~_unseen()).withColumn("h", F.xxhash64("doc"))
@@ -203,14 +205,14 @@ class Residue:
         return fit(*features(Tokens(rows["text"].to_pylist()), rows["title"].to_pylist(), rows["status"].to_pylist()), y)
 
     def scored(self) -> DataFrame:
-        """doc, source, residue (0 to 1) of every row."""
+        """doc, host, residue (0 to 1) of every row."""
         own, w = self.inputs, self.weights
         if w is None:
             weak = weak_labels(self.inputs).select("doc", "label").distinct()
             blank = ~F.coalesce("text", F.lit("")).rlike(r"[^\s\u00a0]")
-            return own.join(weak, "doc", "left").select("doc", "source", F.when(blank, 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
+            return own.join(weak, "doc", "left").select("doc", "host", F.when(blank, 1.0).otherwise(F.coalesce("label", F.lit(0.0))).alias("residue"))
 
-        return self._score(own, "doc", "source")
+        return self._score(own, "doc", "host")
 
     def _score(self, rows: DataFrame, *keep: str) -> DataFrame:
         """The ``keep`` columns of the rows, and residue by the fitted model."""
@@ -231,20 +233,24 @@ class Residue:
         return self.scored().filter(F.col("residue") > CASE).select("doc").distinct()
 
     def validation(self) -> DataFrame:
-        """All rows with a weak label on the hosts the training never saw, and their agreement with it."""
+        """All rows with a weak label on the hosts the training never saw, those with and without a phrase apart,
+        how many of them the model calls residue, and how many agree with the label."""
         known = weak_labels(self.inputs.filter(_unseen())).filter("label is not null")
-        scored = known.withColumn("residue", F.col("label")) if self.weights is None else self._score(known, "label")
-        right = (F.col("residue") > CASE) == (F.col("label") == 1.0)
-        return scored.groupBy(F.col("label").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("texts"), F.sum(right.cast("int")).alias("agreed"))
+        scored = known.withColumn("residue", F.col("label")) if self.weights is None else self._score(known, "label", "phrase")
+        case = F.col("residue") > CASE
+        sums = F.count(F.lit(1)).alias("texts"), F.sum(case.cast("int")).alias("cases"), F.sum((case == (F.col("label") == 1.0)).cast("int")).alias("agreed")
+        return scored.groupBy(F.col("label").cast("int").alias("label"), F.col("phrase").cast("int").alias("phrase")).agg(*sums)
 
 
 def titles(articles: DataFrame) -> DataFrame:
-    """article_id, title, status: those of an article's first row."""
-    first = articles.filter("article_id is not null").groupBy("article_id").agg(F.min_by(F.struct("headline", "collection_json"), "ingest_seq").alias("a"))
-    return first.select("article_id", F.col("a.headline").alias("title"), F.get_json_object("a.collection_json", "$.http_status").try_cast("int").alias("status"))
+    """article_id, title, status, host: those of an article's first row."""
+    url = F.col("url") if "url" in articles.columns else F.lit(None).cast("string")
+    first = articles.filter("article_id is not null").groupBy("article_id").agg(F.min_by(F.struct("headline", "collection_json", url.alias("url")), "ingest_seq").alias("a"))
+    host = F.lower(F.regexp_extract("a.url", r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*://)?(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    return first.select("article_id", F.col("a.headline").alias("title"), F.get_json_object("a.collection_json", "$.http_status").try_cast("int").alias("status"), host.alias("host"))
 
 
 def inputs(texts: DataFrame, articles: DataFrame) -> DataFrame:
-    """doc, source, text, title, status."""
-    t = texts.select("article_id", F.col("source_id").alias("source"), F.col("content_text").alias("text"))
+    """doc, host, text, title, status."""
+    t = texts.select("article_id", F.col("content_text").alias("text"))
     return t.join(titles(articles), "article_id", "left").withColumnRenamed("article_id", "doc")
