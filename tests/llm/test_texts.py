@@ -25,6 +25,35 @@ def test_bpe_equals_public_library(spark):
     assert encoding.encode(df.limit(0)).count() == 0
 
 
+def test_tokens_equal_a_plain_loop():
+    import re
+
+    import pyarrow as pa
+
+    from tidemill.llm import tokens
+
+    rng = random.Random(12)
+    texts = [None, "", "\n", "x", "É a\u0301b c"] + ["".join(rng.choice("abÀß漢é12 .!?\n\r_-\u200b😀") for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    seen, lines, n = {}, {}, 0
+    for b in tokens.pieces([batch.slice(0, 7), batch.slice(7)], "t"):
+        f = tokens.Flat(b["t"])
+        start, end = f.runs(tokens.LETTER | tokens.DIGIT)
+        got = [[] for _ in range(b.num_rows)]
+        for r, a, e, h in zip(f.row_of(start), start, end, f.hashes(start, end).tolist()):
+            word = "".join(map(chr, f.points[a:e]))
+            got[r].append(word)
+            assert seen.setdefault(h, word) == word
+        assert got == [re.findall(r"[a-zàß漢é12\u00e1]+", (t or "").lower()) for t in b["t"].to_pylist()]
+        hashes, some, per = tokens.line_hashes(b["t"])
+        flat = [re.sub(r"[\W\d_]", "", x.lower()) for t in b["t"].to_pylist() for x in (t or "").split("\n")]
+        assert per.tolist() == [(t or "").count("\n") + 1 for t in b["t"].to_pylist()]
+        for h, s, x in zip(hashes.tolist(), some.tolist(), flat):
+            assert s == bool(x) and (not s or lines.setdefault(h, x) == x)
+        n += b.num_rows
+    assert n == len(texts) and len(set(seen.values())) == len(seen) and len(set(lines.values())) == len(lines)
+
+
 def _words(rng, n):
     return ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
 
@@ -191,7 +220,11 @@ def test_subjects(spark):
             labels += [(k, x) for x in own[: rng.choice([1, 2])]]
     docs += [(900, None), (901, ""), (902, "Nothing known here."), (903, " ")]
     labels += [(12345, "law"), (0, None)]
-    out = subjects.Subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_id string")).found().collect()
+    op = subjects.Subjects(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, subject_id string"))
+    out = op.found().collect()
+    assert abs(np.linalg.norm(op.centres, axis=1) - 1).max() < 1e-3 and 3 <= len(op.centres) <= subjects.LEAVES
+    op.mixtures = np.full_like(op.mixtures, 1 / 3)  # the leaves' mixtures alone decide
+    assert {r["subject_id"] for r in op.found().collect()} in (set(), set(terms)) and {tuple(r) for r in op.found().collect()} != {tuple(r) for r in out}
     got = {}
     for r in out:
         got.setdefault(r["doc_id"], set()).add(r["subject_id"])
