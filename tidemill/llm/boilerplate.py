@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm import repeated_lines, residue
+from tidemill.llm import repeated_lines, residue, tokens
 
 #: Lines of a window; letters from which it surges; share of a label's letters that count; letters that a word of a notice takes off.
 WINDOW, SURGE, LABEL, NOTICE = 2, 40, 0.1, 80
@@ -126,16 +126,13 @@ def marked(texts: DataFrame, articles: DataFrame, only: str | None = None) -> Da
     rows, weights = scored(rows.filter(only) if only else rows, residue.Residue(texts, articles), articles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                b = whole.slice(at, 1_000)
-                text = b["content_text"].to_pylist()
-                holds = [True] * b.num_rows
-                if weights is not None:
-                    holds = residue.probability(residue.Tokens(text), b["title"].to_pylist(), b["status"].to_pylist(), weights) <= residue.CASE
-                b, hot = b.filter(pa.array(holds)), [h for h, k in zip(b["hot"].to_pylist(), holds) if k]
-                own = [own_lines(t.split("\n"), h) for t, h in zip(b["content_text"].to_pylist(), hot)]
-                yield pa.RecordBatch.from_arrays([b["article_id"], b["content_text"], pa.array(own, pa.list_(pa.int32()))], ["article_id", "content_text", "own"])
+        for b in tokens.pieces(batches, "content_text"):
+            holds = [True] * b.num_rows
+            if weights is not None:
+                holds = residue.probability(residue.Tokens(b["content_text"]), b["title"].to_pylist(), b["status"].to_pylist(), weights) <= residue.CASE
+            b, hot = b.filter(pa.array(holds)), [h for h, k in zip(b["hot"].to_pylist(), holds) if k]
+            own = [own_lines(t.split("\n"), h) for t, h in zip(b["content_text"].to_pylist(), hot)]
+            yield pa.RecordBatch.from_arrays([b["article_id"], b["content_text"], pa.array(own, pa.list_(pa.int32()))], ["article_id", "content_text", "own"])
 
     kind = rows.schema["article_id"].dataType.simpleString()
     return rows.select("article_id", "content_text", "hot", "title", "status").mapInArrow(run, f"article_id {kind}, content_text string, own array<int>")

@@ -7,7 +7,8 @@ are the common prefixes of neighbouring suffixes. Three steps keep it distribute
 1. First symbol. Suffixes are bucketed by (source, first identifier) with a combining count of
    documents. A block starts with a line that by itself spans enough documents, so buckets below
    the threshold can hold no block and end here; this is also where a sequence is cut.
-2. Suffixes. Every document gives the suffixes of its remaining runs in sorted order. For two
+2. Suffixes. Every document gives the different suffixes of its remaining runs in sorted order, each with its first ``DEPTH``
+   lines, so that their size is linear in the document's. For two
    neighbours in this order their common prefix goes out with weight -1, so that the weights of all
    suffixes below a prefix add up to documents, not to occurrences. Equal suffixes of a source are
    added up before the sort, so copies never meet in one task.
@@ -26,28 +27,35 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import tokens
 from tidemill.session import Scratch
 
 #: A line stands in at least so many articles of its source, and in at least this share of them.
 MIN_ARTICLES, MIN_SHARE = 3, 0.02
+#: Lines of a suffix. A longer passage appears as its overlapping blocks of so many lines, so every line of it is still covered.
+DEPTH = 64
 
 
-def letters(line: Column) -> Column:
-    """The line's letters in lower case; two lines are the same if these are."""
-    return F.regexp_replace(F.lower(line), r"[^\p{L}]+", "")
+def with_line_ids(docs: DataFrame, text: str, name: str = "ids") -> DataFrame:
+    """The rows with the identifiers of the text's lines in order: a hash of their letters in lower case, null for a line without letters."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tokens.pieces(batches, text):
+            ids, some, per = tokens.line_hashes(b[text])
+            null = b[text].is_null().to_numpy(zero_copy_only=False)
+            keep = ~np.repeat(null, per)
+            offsets = np.append(0, np.cumsum(np.where(null, 0, per))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(offsets, pa.array(ids[keep], mask=~some[keep]), mask=pa.array(null))
+            yield pa.RecordBatch.from_arrays([*b.columns, lists], [*b.schema.names, name])
 
-def line_id(line: Column) -> Column:
-    return F.when(letters(line) != "", F.xxhash64(letters(line)))
-
-
-def line_ids(text: Column) -> Column:
-    """The identifiers of a text's lines in order, null for a line without letters."""
-    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\n]+", ""), "\n", -1), lambda x: F.when(x != "", F.xxhash64(x)))
+    return docs.mapInArrow(run, f"{kinds}, `{name}` array<bigint>")
 
 
 def by_source(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -84,15 +92,16 @@ def _suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for source, least, seq, n in zip(b["source"], b["least"], b["seq"], b["n"]):
             ids = list(seq)
             cut = [-1, *(i for i, x in enumerate(ids) if x == 0), len(ids)]
-            runs = [ids[i + 1 : j] for i, j in zip(cut, cut[1:])]
-            own = sorted(tuple(run[i:]) for run in runs for i in range(len(run)))
+            # Equal suffixes of a document count once, so a line repeated over and over leaves no more than DEPTH of them.
+            own = sorted({tuple(ids[i : min(j, i + DEPTH)]) for start, j in zip(cut, cut[1:]) for i in range(start + 1, j)})
             before: tuple = ()
             for s in own:
                 rows.append((source, least, s, n))
                 if k := _common(before, s):
                     rows.append((source, least, s[:k], -n))
                 before = s
-        yield pd.DataFrame({"source": [r[0] for r in rows], "least": [r[1] for r in rows], "suffix": [list(r[2]) for r in rows], "weight": [r[3] for r in rows]})
+        if rows:
+            yield pd.DataFrame({"source": [r[0] for r in rows], "least": [r[1] for r in rows], "suffix": [list(r[2]) for r in rows], "weight": [r[3] for r in rows]})
 
 
 class _Intervals:
@@ -110,8 +119,9 @@ class _Intervals:
         while self.stack and self.stack[-1][0] > to:
             depth, weight = self.stack.pop()
             below = max(self.stack[-1][0] if self.stack else 0, to)
+            # An interval gives its longest block, which covers the shorter ones' lines; one at the edge of the part may be shorter in the next.
             for d in range(below + 1, depth + 1):
-                if last or weight >= self.at[1] or (self.at == self.first_at and self.before[:d] == self.edge[:d]):
+                if last or (self.at == self.first_at and self.before[:d] == self.edge[:d]) or (d == depth and weight >= self.at[1]):
                     self.out.append((*self.at, self.before[:d], weight))
             if self.stack and self.stack[-1][0] == below:
                 self.stack[-1][1] += weight
@@ -142,10 +152,12 @@ def _intervals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for source, least, s, weight in zip(b["source"], b["least"], b["suffix"], b["weight"]):
             walk.add(source, least, tuple(s), weight)
-        yield walk.take()
+        if walk.out:
+            yield walk.take()
     if walk.at:
         walk.close(0, last=True)
-        yield walk.take()
+        if walk.out:
+            yield walk.take()
 
 
 class RepeatedLines:
@@ -155,7 +167,9 @@ class RepeatedLines:
         self.scratch = scratch = Scratch(docs.sparkSession, "repeated-lines")
         self.docs, self.doc, self.source, self.text = docs, doc, source, text
         self.kind = docs.schema[source].dataType.simpleString()
-        lines = scratch.keep(docs.select(F.col(doc).alias("doc"), F.col(source).alias("source"), line_ids(F.col(text)).alias("ids"), *keep).filter("ids is not null"))
+        named = docs.filter(docs[text].isNotNull()).select(F.col(doc).alias("doc"), F.col(source).alias("source"), F.col(text).alias("__text"), *(k for k in keep if k != text))
+        named = with_line_ids(named, "__text")
+        lines = scratch.keep(named.withColumnRenamed("__text", text) if text in keep else named.drop("__text"))
         first = _first_symbols(lines, needed(docs, source))
         marked = by_source(lines, first).select(
             "doc", "source", "least", F.transform("ids", lambda x: F.when(x.isNull(), None).when(F.array_contains("first", F.coalesce(x, F.lit(0))), x).otherwise(F.lit(0))).alias("hit")
@@ -195,10 +209,11 @@ class RepeatedLines:
     def cleaned(self) -> DataFrame:
         """Every document without its covered lines, with their number; the other lines stay byte by byte."""
         mine = [f"`{x}`" for x in self.docs.columns if x != self.text]
+        docs = with_line_ids(self.docs, self.text, "__ids")
         c = self.covered().withColumnRenamed("source", "__source").withColumnRenamed("covered", "__covered")
-        left = self.docs.join(c, self.docs[self.source].eqNullSafe(c["__source"]), "left")
+        left = docs.join(c, docs[self.source].eqNullSafe(c["__source"]), "left")
         lines = F.split(F.col(f"`{self.text}`"), "\n", -1)
-        keep = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__covered", F.coalesce(line_id(x), F.lit(0))), F.lit(False)))
+        keep = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains("__covered", F.get("__ids", i)), F.lit(False)))
         rest = F.when(F.col("__covered").isNull(), F.col(f"`{self.text}`")).otherwise(F.array_join(keep, "\n"))
         removed = F.when(F.col("__covered").isNull() | F.col(f"`{self.text}`").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(keep))
         return left.select(*mine, rest.alias(self.text), removed.alias("lines_removed"))

@@ -17,16 +17,16 @@ at all, the weak labels themselves decide.
 
 from __future__ import annotations
 
-import math
+import functools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import tokens
 from tidemill.session import Scratch
 
 #: Texts that are looked at for weak labels, rows of each that the model is fitted on, features, and the share of hosts held out, in percent.
@@ -48,74 +48,64 @@ FILLER = frozenset(("lorem", "ipsum", "dolor", "conse", "adipi", "eiusm", "tempo
 _MARK = re.compile(r"[{}<$%@\[_][{}%@\[_!]")
 _BEGINS = re.compile("^(?:" + "|".join(p.replace(r"\p{L}", r"[^\W\d_]") for p in PHRASES) + ")")
 
-
-PLAIN = ("f_words", "f_line", "f_long", "f_filler", "f_title", "f_status")
-
-
-_TOKEN = re.compile(r"[^\W\d_]+|(?:[^\w\s]|_)+")
 _WORD = re.compile(r"[^\W\d_]{4,}")
-
-
-class _Codes(dict):
-    """A token's code: whether it is filler, whether it is a word, its bytes (to 63), and 56 bits of its hash."""
-
-    KEPT = 500_000
-
-    def __missing__(self, token: str) -> int:
-        if len(self) >= self.KEPT:
-            self.clear()
-        raw = token.encode()
-        self[token] = x = (xxhash.xxh64_intdigest(raw) >> 8 << 8 | min(len(raw), 63) << 2 | token[0].isalpha() << 1 | (token[:5] in FILLER)) - (1 << 63)
-        return x
-
-
-_CODES = _Codes()
+_VISIBLE = tokens.PUNCT | tokens.END | tokens.CLOSE
 
 
 class Tokens:
-    """The tokens of texts as codes, line after line."""
-
-    def __init__(self, texts: list[str | None]):
-        self.texts = [(t or "") for t in texts]
-        tokens: list[str] = []
-        self.lines, counts = [], []
-        for text in self.texts:
-            lines = text.split("\n")
-            self.lines.append(lines)
-            for line in lines:
-                found = _TOKEN.findall(line.lower())
-                tokens += found
-                counts.append(len(found))
-        self.codes = np.fromiter(map(_CODES.__getitem__, tokens), np.int64, len(tokens))
-        self.per_line = np.array(counts, np.int64)
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in self.lines])]).astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(self.per_line)])
-        self.per_text = np.diff(total[starts])
-
-
-def features(tokens: Tokens, titles: list[str | None], status: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words and runs of punctuation of texts: hash, text, line (of all texts' lines), whether a word, whether a filler word."""
+
+    def __init__(self, column: pa.Array):
+        self.flat = flat = tokens.Flat(column)
+        start, end, kind = flat.split({tokens.LETTER | tokens.MARK: 1, _VISIBLE: 2})
+        self.codes, self.row, self.word = flat.hashes(start, end), flat.row_of(start), kind == 1
+        self.start, self.end = start, end
+        five = np.nonzero(self.word & (end - start >= 5))[0]
+        head = flat.hashes(start[five], start[five] + 5)
+        at = np.minimum(np.searchsorted(_filler(), head), len(_filler()) - 1)
+        self.filler = np.zeros(len(start), bool)
+        self.filler[five] = _filler()[at] == head
+        self.per_text = np.bincount(self.row, minlength=flat.rows)
+
+    def line_sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of every line of the texts, and the text it belongs to."""
+        breaks = np.nonzero(self.flat.classes == tokens.LINE)[0]
+        start = np.sort(np.concatenate([breaks + 1, self.flat.bounds[:-1]]), kind="stable")
+        stop = np.sort(np.concatenate([breaks, self.flat.bounds[1:]]), kind="stable")
+        per = np.diff(np.searchsorted(breaks, self.flat.bounds)) + 1
+        return stop - start, np.repeat(np.arange(self.flat.rows), per)
+
+
+@functools.lru_cache(maxsize=1)
+def _filler() -> np.ndarray:
+    flat = tokens.Flat(pa.array(sorted(FILLER)))
+    return np.sort(flat.hashes(flat.bounds[:-1], flat.bounds[1:]))
+
+
+def features(texts: Tokens, titles: list[str | None], status: list[int | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The hashed n-gram slots of every row; their numbers; the plain features."""
-    n = tokens.per_text
-    plain = np.zeros((len(n), len(PLAIN)))
-    for i, (text, lines, title, code, k) in enumerate(zip(tokens.texts, tokens.lines, titles, status, n.tolist())):
-        sizes = [len(x) for x in lines]
+    n, row = texts.per_text, texts.row
+    rows = len(n)
+    sizes, of = texts.line_sizes()
+    longest = np.zeros(rows)
+    np.maximum.at(longest, of, sizes)
+    filler = np.bincount(row, weights=texts.filler, minlength=rows) / np.maximum(n, 1)
+    prose = np.minimum(1.0, np.bincount(of, weights=sizes >= 90, minlength=rows) / 4)
+    shared = np.zeros(rows)
+    for i, (title, low) in enumerate(zip(titles, texts.flat.texts())):
         words = set(_WORD.findall((title or "").lower()))
-        low = text.lower() if words else ""
-        shared = sum(w in low for w in words) / len(words) if words else 0.0
-        plain[i] = (math.log1p(k) / 8, math.log1p(max(sizes)) / 8, min(1.0, sum(x >= 90 for x in sizes) / 4), 0.0, shared, float((code or 0) >= 400))
-    x = tokens.codes
-    row = np.repeat(np.arange(len(n)), n)
-    filler = np.bincount(row, weights=x & 1, minlength=len(n)) / np.maximum(n, 1)
-    plain[:, 3] = filler
-    plain[filler > 0.3, 2] = 0
-    h = x >> 8 & 0xFFFFFFFF
-    pair = (h[:-1] * 0x9E3779B1 ^ h[1:] * 0x85EBCA77) & 0xFFFFFFFF
+        if words:
+            shared[i] = sum(w in low for w in words) / len(words)
+    bad = np.array([(code or 0) >= 400 for code in status], float)
+    plain = np.stack([np.log1p(n) / 8, np.log1p(longest) / 8, np.where(filler > 0.3, 0, prose), filler, shared, bad], 1)
+    h = texts.codes.view(np.uint64)
     both = row[:-1] == row[1:]
-    mixed = lambda v: (v ^ v >> 15) % WIDTH
+    with np.errstate(over="ignore"):
+        pair = tokens.mix(h[:-1][both] * np.uint64(3) + h[1:][both])
     # In order of rows: the single tokens, then the pairs with the row they begin in.
-    slot = np.concatenate([mixed(h), mixed(pair[both] + 1)])
+    slot = (np.concatenate([h, pair]) % np.uint64(WIDTH)).astype(np.int64)
     order = np.argsort(np.concatenate([row, row[:-1][both]]), kind="stable")
-    return slot[order], n + np.bincount(row[:-1][both], minlength=len(n)), plain
+    return slot[order], n + np.bincount(row[:-1][both], minlength=rows), plain
 
 
 def weak_label(text: str | None, status: int | None) -> tuple[float | None, bool]:
@@ -176,10 +166,11 @@ def fit(flat: np.ndarray, sizes: np.ndarray, plain: np.ndarray, y: np.ndarray, r
     return w
 
 
-def probability(tokens: Tokens, titles: list[str | None], status: list[int | None], w: np.ndarray) -> np.ndarray:
+def probability(texts: Tokens, titles: list[str | None], status: list[int | None], w: np.ndarray) -> np.ndarray:
     """That the texts are residue; 1 for blank ones."""
-    p = 1 / (1 + np.exp(-np.clip(_margins(*features(tokens, titles, status), w), -30, 30)))
-    return np.where([not t or t.isspace() for t in tokens.texts], 1.0, p)
+    p = 1 / (1 + np.exp(-np.clip(_margins(*features(texts, titles, status), w), -30, 30)))
+    seen = np.append(0, np.cumsum((texts.flat.classes & (tokens.SPACE | tokens.LINE)) == 0))
+    return np.where(seen[texts.flat.bounds[1:]] == seen[texts.flat.bounds[:-1]], 1.0, p)
 
 
 class Residue:
@@ -202,7 +193,7 @@ class Residue:
         y = rows["label"].to_numpy()
         if len(set(y)) < 2:
             return None
-        return fit(*features(Tokens(rows["text"].to_pylist()), rows["title"].to_pylist(), rows["status"].to_pylist()), y)
+        return fit(*features(Tokens(rows["text"].combine_chunks()), rows["title"].to_pylist(), rows["status"].to_pylist()), y)
 
     def scored(self) -> DataFrame:
         """doc, host, residue (0 to 1) of every row."""
@@ -219,11 +210,9 @@ class Residue:
         w = self.weights
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1_000):
-                    b = whole.slice(at, 1_000)
-                    p = probability(Tokens(b["text"].to_pylist()), b["title"].to_pylist(), b["status"].to_pylist(), w)
-                    yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(p)], [*keep, "residue"])
+            for b in tokens.pieces(batches, "text"):
+                p = probability(Tokens(b["text"]), b["title"].to_pylist(), b["status"].to_pylist(), w)
+                yield pa.RecordBatch.from_arrays([*(b[k] for k in keep), pa.array(p)], [*keep, "residue"])
 
         kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keep)
         return rows.select(*keep, "text", "title", "status").mapInArrow(run, f"{kinds}, residue double")

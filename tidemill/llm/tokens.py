@@ -32,7 +32,8 @@ _BACK = pow(_BASE, -1, 1 << 64)
 def classes() -> np.ndarray:
     out = np.full(0x110000, PUNCT, np.uint16)
     kinds = {"L": LETTER, "M": MARK, "N": DIGIT, "Z": SPACE}
-    for k in range(0x110000):
+    out[0x20000:0x32400], out[0x32400:], out[0xE0100:0xE01F0] = LETTER, HIDDEN, MARK  # ideographs; nothing; variation selectors
+    for k in range(0x20000):
         c = unicodedata.category(chr(k))
         out[k] = HIDDEN if c in ("Cc", "Cf", "Cn", "Cs") else kinds.get(c[0], PUNCT)
     for ch in "\t\v\f\r\x1c\x1d\x1e\x1f\x85":
@@ -65,7 +66,7 @@ class Flat:
 
     def __init__(self, column: pa.Array):
         column = pc.utf8_lower(pc.fill_null(column.cast(pa.string()), ""))
-        self.rows = len(column)
+        self.rows, self._column = len(column), column
         self.bounds = np.append(0, np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)))
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
         data = column.buffers()[2]
@@ -73,6 +74,10 @@ class Flat:
         self.points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
         self.classes = classes()[self.points]
 
+    def texts(self) -> list[str]:
+        """The texts in lower case."""
+        return self._column.to_pylist()
+
     @functools.cached_property
     def _sums(self) -> np.ndarray:
         x = self.points.astype(np.uint64)
@@ -82,21 +87,28 @@ class Flat:
             x *= _powers(_room(len(x)))[0][: len(x)]
             return np.append(np.uint64(0), np.cumsum(x))
 
+    def split(self, kind_of: dict[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and kinds of the longest runs of one kind; ``kind_of`` gives the kinds (from 1) of classes, others are in no run."""
+        lut = np.zeros(2 * PUNCT, np.uint8)
+        for classes_, kind in kind_of.items():
+            for k in range(9):
+                if classes_ >> k & 1:
+                    lut[1 << k] = kind
+        kind = lut[self.classes]
+        edge = np.ones(len(kind) + 1, bool)
+        if len(kind):
+            np.not_equal(kind[1:], kind[:-1], out=edge[1:-1])
+            edge[self.bounds] = True  # no run goes over the end of a text
+        else:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        at = np.nonzero(edge)[0]
+        kinds = kind[at[:-1]]
+        some = kinds > 0
+        return at[:-1][some], at[1:][some], kinds[some]
+
     def runs(self, kinds: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the longest runs of the classes ``kinds``."""
-        inside = (self.classes & kinds) > 0
-        edge = np.empty(len(inside) + 1, bool)
-        edge[0], edge[-1] = inside[:1].any(), inside[-1:].any()
-        np.not_equal(inside[1:], inside[:-1], out=edge[1:-1]) if len(inside) else None
-        at = np.nonzero(edge)[0]
-        starts, ends = at[::2], at[1::2]
-        # A run over the end of a text is cut there.
-        cut = self.bounds[1:-1]
-        cut = np.unique(cut[(cut > 0) & (cut < len(inside))])
-        cut = cut[inside[cut] & inside[cut - 1]] if len(cut) else cut
-        if len(cut):
-            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
-        return starts, ends
+        return self.split({kinds: 1})[:2]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Of the characters from each start to its end."""
