@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -30,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it; a temporary one only where none is set."""
+    """The folder all executors share, as the cluster names it; a temporary one only in a local session where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidemill-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -67,6 +68,8 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
 
-
-def cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", "8"))
+    def clear(self) -> None:
+        """Removes all tables that are left; for work whose results are kept elsewhere."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths.clear()
