@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,8 +78,9 @@ def brute(rows, doc_words):
 
 def tables(spark, rows, doc_words):
     a = spark.createDataFrame(rows, "ingest_seq bigint, article_id string, source_id string, url string, canonical_url string, guid string")
-    w = spark.createDataFrame([(k, [hash_(x) for x in v], [len(x) for x in v]) for k, v in doc_words.items()], "doc string, words array<bigint>, bytes array<int>")
-    return a, w
+    flat = [x for v in doc_words.values() for x in v]
+    b = H.chunked(pa.array(list(doc_words), pa.string()), np.array([hash_(x) for x in flat], np.int64), np.array([len(x) for x in flat], np.int64), np.array([len(v) for v in doc_words.values()], np.int64), "doc")
+    return a, spark.createDataFrame(pa.Table.from_batches([b]).to_pandas(), f"doc string, {H._OWN}")
 
 
 def hash_(w):
@@ -168,3 +170,52 @@ def test_hot_group_whose_first_row_is_a_repetition(spark, tmp_path):
 def test_hot_groups_against_brute_force(spark):
     rows, words = hot_groups(5)
     assert {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()} == brute(rows, words)
+
+
+def test_reopened_history_and_a_lost_batch(spark, tmp_path):
+    import os
+    import shutil
+
+    rows, words = fixture(7, 90)
+    got, path = set(), str(tmp_path / "h")
+    for k, (lo, hi) in enumerate(((0, 30), (30, 60), (60, 90))):
+        past = H.History(spark, path, buckets=4 + k)  # a path keeps its own number
+        assert past.batches == list(range(k)) and past.buckets == 4
+        part = rows[lo:hi]
+        b = H.Batch(*tables(spark, part, {r[1]: words[r[1]] for r in part if r[1] in words}), past)
+        found = b.decide()
+        got |= {tuple(r) for r in found.collect()}
+        b.accept(found)
+        if k == 1:  # the run is lost before the marker of its batch: nothing of it counts, and the batch is done again
+            os.remove(f"{path}/_committed/000001")
+            shutil.rmtree(f"{path}/texts/batch=1")
+            past = H.History(spark, path)
+            assert past.batches == [0]
+            b = H.Batch(*tables(spark, part, {r[1]: words[r[1]] for r in part if r[1] in words}), past)
+            b.accept(b.decide())
+    assert got == brute(rows, words)
+
+
+def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
+    rows, words = fixture(11, 60)
+    past = H.History(spark, str(tmp_path / "h"), buckets=64)
+    b = H.Batch(*tables(spark, rows[:59], words), past)
+    b.accept(b.decide())
+    few = spark.createDataFrame([(5,), (6,)], "key bigint")
+    read = past.read("keys", few)
+    scan = read._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: ")[1][:300]
+    ids = {r[0] for r in few.select(H._bucket("key", 64)).collect()}
+    assert "bucket#" in scan and "batch#" in scan and all(str(i) in scan for i in ids) and len(ids) < 3
+
+
+def test_copies_in_every_chunk_hot_and_rare(spark):
+    """Pairs that share nothing but hot chunks meet, too."""
+    rng = random.Random(4)
+    parts = [[f"p{i}.{j}" for j in range(12)] for i in range(6)]
+    rows, words = [], {}
+    for k in range(160):
+        w = [x for i in (sorted(rng.sample(range(6), 4)) if k < 150 else (0, 1, 2, 3)) for x in parts[i]]
+        rows.append((k + 1, f"a{k}", "s", f"https://h.example/{k}", None, None))
+        words[f"a{k}"] = [*w, f"n{k}"]
+    got = {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()}
+    assert got == brute(rows, words) and len(got) > 100

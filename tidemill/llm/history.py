@@ -1,15 +1,21 @@
 """New batches against all accepted history (problem 2).
 
 A row repeats an accepted one if it is the same page (``address``), the same entry of the same feed,
-or if its own prose is the same but for a tenth of its words. Rows count in order of ingest_seq.
+or if its own prose is the same but for a tenth of its words. Rows count in order of ingest_seq, batches in order of arrival.
 
-Content-defined chunking: a rolling hash over two words ends a chunk on average every ``CHUNK`` words, so
-that an edit changes only the chunks around it. The persistent chunk table (chunk, text, bytes) gives
-the candidates: the bytes that two texts share in chunks of no more than ``HOT`` texts are added up, and
-enough coverage makes a pair, which the word sequences then confirm. A text whose bytes lie in hot chunks
-to a large part is crowded, and meets the other crowded ones in the rarest of these too. Accepted
-texts' chunks and keys are appended to the table; a later batch reads from it only what its own
-chunks and keys meet, never the texts of the history at large.
+Content-defined chunking: a word's hash ends a chunk, on average every ``CHUNK`` words and after ``LONGEST`` at the latest, so
+that an edit changes only the chunks around it. The persistent chunk table (chunk, text, bytes) gives the bytes that two
+texts share; of a pair that covers ``COVER`` of the larger text's bytes the word sequences are compared, and ``SAME`` of them equal in
+order make a repetition.
+
+History: keys of accepted rows, chunks and words of accepted texts, one folder a batch, each divided into ``BUCKETS`` by key, chunk
+and text. A batch counts once its marker is written; what a lost run left behind is written anew. Opening a
+path finds the batches that are there. A new batch reads of each table only the buckets it touches, and of
+these only what its own chunks and keys meet; the words of an old text are read only if a pair with it is to be compared.
+
+Exact for every pair above ``COVER``: bytes in chunks of more than ``HOT`` texts are hot. A text of which no more than ``CROWDED`` is hot
+shares at least ``COVER - CROWDED`` with the other in chunks that aren't. Of two texts that are crowded both keep the rarest of
+their hot chunks, all but ``CROWDED`` of their bytes of the most frequent ones, and so meet in one of these.
 
 Hot groups: equal texts are one text. The links found outside hot chunks are decided first; only crowded texts with an
 accepted row then meet in hot chunks. A chunk pairs each of them with the earliest accepted one only; those that match are
@@ -21,9 +27,9 @@ accepted row and hasn't met all others that have one. At last repetitions meet t
 The order of decisions is kept by rounds: a row is accepted once no undecided earlier row could be
 its original, and is a repetition as soon as an accepted earlier one is. The kept row is the earliest.
 
-Defined results: null addresses, guids and texts take no part; empty own prose and texts that hold no
+Defined results: words are runs of letters or digits; null addresses, guids and texts take no part; empty own prose and texts that hold no
 article (problem 7) never make a repetition; equal guids of different feeds don't either; a repeated
-ingest_seq is one row.
+ingest_seq is one row. The residue model and the repeated lines are those of the texts given to ``own_words``.
 """
 
 from __future__ import annotations
@@ -35,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm import boilerplate, repeated_lines, residue
+from tidemill.llm import boilerplate, repeated_lines, residue, tokens
 from tidemill.session import Scratch
 
-#: Words of a chunk on average; texts from which a chunk is hot; share of a text's bytes that two texts must share in chunks
-#: that aren't hot; share of hot bytes from which a text is crowded; least coverage of a candidate from hot chunks; least
-#: share of equal words in order.
-CHUNK, HOT, MEET, CROWDED, COVER, SAME = 5, 32, 0.06, 0.4, 0.25, 0.87
+#: A word of so many ends a chunk; the most words of a chunk; share of its bytes that two texts must have in common to be compared; texts from which a chunk is
+#: hot; share of hot bytes from which a text is crowded; least share of equal words in order.
+CHUNK, LONGEST, COVER, HOT, CROWDED, SAME = 4, 6, 0.3, 32, 0.25, 0.87
+#: Parts of every table of the history, of which a batch reads those that its keys, chunks and texts fall into.
+BUCKETS = 16
 
 # Parameters that say where a reader came from, not what page it is; beginnings of hosts that serve the same pages.
 TRACKING = r"^(utm_.*|gclid|fbclid|dclid|msclkid|yclid|mc_cid|mc_eid|cmp|cmpid|ref|referrer|source|at_.*|xtor|output=amp|amp(=.*)?|share|igshid|_ga|ns_.*|wt\..*|ito|smid|ocid|partner)(=.*)?$"
@@ -65,81 +72,89 @@ def _key(kind: str, *parts: Column) -> Column:
     return F.when(F.concat(*parts).isNotNull(), F.xxhash64(F.lit(kind), *parts))
 
 
+_OWN = "text bigint, words array<bigint>, n int, chunks array<bigint>, sizes array<int>, total bigint"
+
+
 def own_words(texts: DataFrame, articles: DataFrame) -> DataFrame:
-    """doc, words (hashes in order), bytes (their lengths) of the own prose of every text that holds an article."""
+    """doc, text (a hash of its words), words (hashes in order), n, chunks, sizes, total of the own prose of every text that holds an article."""
     lines = repeated_lines.RepeatedLines(texts, keep=("content_text",))
     rows, weights = boilerplate.scored(boilerplate.flagged(texts, lines=lines), residue.Residue(texts, articles), articles)
     kind = texts.schema["article_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                yield _own_words(whole.slice(at, 1_000), weights)
+        for b in tokens.pieces(batches, "content_text"):
+            yield _own_words(b, weights)
 
-    own = Scratch(texts.sparkSession, "own-words").keep(rows.select("article_id", "content_text", "hot", "title", "status").mapInArrow(run, f"doc {kind}, words array<bigint>, bytes array<int>"))
+    own = Scratch(texts.sparkSession, "own-words").keep(rows.select("article_id", "content_text", "hot", "title", "status").mapInArrow(run, f"doc {kind}, {_OWN}"))
     lines.scratch.drop(lines.rows, lines.marked, lines.blocks)
     return own
 
 
 def _own_words(b: pa.RecordBatch, weights: np.ndarray | None) -> pa.RecordBatch:
-    tokens = residue.Tokens(b["content_text"].to_pylist())
-    case = np.zeros(b.num_rows, bool) if weights is None else residue.probability(tokens, b["title"].to_pylist(), b["status"].to_pylist(), weights) > residue.CASE
-    own = [o == 1 and not skip for lines, hot, skip in zip(tokens.lines, b["hot"].to_pylist(), case.tolist()) for o in boilerplate.own_lines(lines, hot)]
-    keep = np.repeat(np.array(own, bool), tokens.per_line) & (tokens.codes & 2 > 0)
-    per = np.bincount(np.repeat(np.arange(b.num_rows), tokens.per_text)[keep], minlength=b.num_rows)
-    words, cut = tokens.codes[keep], pa.array(np.append(0, np.cumsum(per)).astype(np.int32))
-    out = pa.RecordBatch.from_arrays([b["article_id"], pa.ListArray.from_arrays(cut, pa.array(words)), pa.ListArray.from_arrays(cut, pa.array((words >> 2 & 63).astype(np.int32)))], ["doc", "words", "bytes"])
-    return out.filter(pa.array(per > 0))
+    text, flat = b["content_text"], tokens.Flat(b["content_text"])
+    case = np.zeros(b.num_rows, bool) if weights is None else residue.probability(residue.Tokens(text, flat), b["title"].to_pylist(), b["status"].to_pylist(), weights) > residue.CASE
+    lines = [t.split("\n") for t in text.to_pylist()]
+    own = np.array([o == 1 and not skip for own_of, skip in zip(map(boilerplate.own_lines, lines, b["hot"].to_pylist()), case.tolist()) for o in own_of], bool)
+    start, end = flat.runs(tokens.LETTER | tokens.MARK | tokens.DIGIT)
+    row = flat.row_of(start)
+    keep = own[np.searchsorted(np.nonzero(flat.classes == tokens.LINE)[0], start) + row]  # lines before it: the breaks, and one a text
+    start, end, row = start[keep], end[keep], row[keep]
+    return chunked(b["article_id"], flat.hashes(start, end), (end - start).astype(np.int64), np.bincount(row, minlength=b.num_rows), "doc")
+
+
+def chunked(ids: pa.Array, words: np.ndarray, length: np.ndarray, per: np.ndarray, name: str) -> pa.RecordBatch:
+    """``name`` and the columns of ``_OWN``, of texts given as their words one after another and their numbers of words; those without words are left out."""
+    row = np.repeat(np.arange(len(per)), per)
+    with np.errstate(over="ignore"):
+        at = np.arange(len(words)) - np.repeat(np.cumsum(per) - per, per)
+        x = tokens.mix(words.view(np.uint64) + (at.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        text = np.zeros(len(per), np.uint64)
+        np.add.at(text, row, x)
+        text = tokens.mix(text)
+    h, size, r = _cut(words, length, row)
+    order = np.lexsort((h, r))
+    h, size, r = h[order], size[order], r[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))[: len(h)]
+    h, size, r = h[new], size[new], r[new]
+    many = np.bincount(r, minlength=len(per))
+    total = np.bincount(r, weights=size, minlength=len(per)).astype(np.int64)
+    out = [ids, pa.array(text.view(np.int64)), tokens.lists(words, per), pa.array(per.astype(np.int32)), tokens.lists(h, many), tokens.lists(size.astype(np.int32), many), pa.array(total)]
+    return pa.RecordBatch.from_arrays(out, [name, "text", "words", "n", "chunks", "sizes", "total"]).filter(pa.array(per > 0))
 
 
 def _cut(words: np.ndarray, size: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunk hash, bytes and row of all chunks; a boundary follows a pair of words by its hash, and every row's end."""
+    """Chunk hash, bytes and row of all chunks; a boundary follows a word by its hash, every ``LONGEST`` words without one, and every row's end."""
+    if not len(words):
+        return words, size, row
     with np.errstate(over="ignore"):
         w = words.view(np.uint64)
-        mixed = (w * np.uint64(0x9E3779B97F4A7C15)) ^ (np.append(np.uint64(0), w[:-1]) * np.uint64(0xC2B2AE3D27D4EB4F))
-        mixed ^= mixed >> np.uint64(32)
-        last = np.append(row[1:] != row[:-1], True)
-        end = (mixed % np.uint64(CHUNK) == 0) | last
-        chunk = np.cumsum(np.append(0, end[:-1]))
-        first = np.nonzero(np.append(True, end[:-1]))[0]
-        at = np.arange(len(w)) - first[chunk]
-        x = (w + np.uint64(0x165667B19E3779F9)) * (at.astype(np.uint64) * np.uint64(2) + np.uint64(0x27D4EB2F165667C5))
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        total = np.add.reduceat(x, first)
-        total ^= total >> np.uint64(31)
+        end = tokens.mix(w * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(CHUNK) == 0
+        end |= np.append(row[1:] != row[:-1], True)
+        # Words since the last boundary; a stretch without one is cut into parts.
+        start = np.append(True, end[:-1])
+        since = np.arange(len(w)) - np.maximum.accumulate(np.where(start, np.arange(len(w)), 0))
+        start |= since % LONGEST == 0
+        first = np.nonzero(start)[0]
+        at = np.arange(len(w)) - np.repeat(first, np.diff(np.append(first, len(w))))
+        x = tokens.mix((w + np.uint64(0x165667B19E3779F9)) * (at.astype(np.uint64) * np.uint64(2) + np.uint64(0x27D4EB2F165667C5)))
+        total = tokens.mix(np.add.reduceat(x, first))
     return total.view(np.int64), np.add.reduceat(size, first), row[first]
 
 
-def chunks(texts: DataFrame) -> DataFrame:
-    """text, chunks, sizes: the chunk hashes of a text, each once, with their bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = np.diff(b["words"].offsets.to_numpy())
-            row = np.repeat(np.arange(len(n)), n)
-            h, size, r = _cut(b["words"].flatten().to_numpy(zero_copy_only=False), b["bytes"].flatten().to_numpy(zero_copy_only=False).astype(np.int64), row)
-            order = np.lexsort((h, r))
-            h, size, r = h[order], size[order], r[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (r[1:] != r[:-1]))
-            per = np.bincount(r[new], minlength=len(n))
-            offsets = np.append(0, np.cumsum(per)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["text"], pa.ListArray.from_arrays(offsets, pa.array(h[new])), pa.ListArray.from_arrays(offsets, pa.array(np.add.reduceat(size, np.nonzero(new)[0]).astype(np.int32)))], ["text", "chunks", "sizes"])
-
-    return texts.select("text", "words", "bytes").mapInArrow(run, "text bigint, chunks array<bigint>, sizes array<int>")
-
-
-def _coverage(a: str, b: str) -> Column:
-    """Shared bytes of two texts by the larger one's."""
-    shared = F.aggregate(F.zip_with(f"{a}.chunks", f"{a}.sizes", lambda c, s: F.when(F.array_contains(f"{b}.chunks", c), s).otherwise(0)), F.lit(0), lambda x, y: x + y)
-    total = lambda t: F.aggregate(f"{t}.sizes", F.lit(0), lambda x, y: x + y)
-    return shared / F.greatest(total(a), total(b))
-
-
 def _equal_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs with enough coverage whose words are the same in order but for the tolerated share."""
     for b in batches:
-        keep = [common(np.array(x), np.array(y)) >= SAME * max(len(x), len(y)) for x, y in zip(b["left"].to_pylist(), b["right"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([b["a"].filter(pa.array(keep, pa.bool_())), b["b"].filter(pa.array(keep, pa.bool_()))], ["a", "b"])
+        part = {}
+        for c in ("a_words", "b_words", "a_chunks", "b_chunks", "a_sizes"):
+            values, at = b[c].flatten().to_numpy(zero_copy_only=False), b[c].offsets.to_numpy()
+            part[c] = (values, at - at[0])
+        of = lambda c, k: part[c][0][part[c][1][k] : part[c][1][k + 1]]
+        keep = []
+        for k, (ta, tb) in enumerate(zip(b["a_total"].to_pylist(), b["b_total"].to_pylist())):
+            shared = of("a_sizes", k)[np.isin(of("a_chunks", k), of("b_chunks", k), assume_unique=True)].sum()
+            x, y = of("a_words", k), of("b_words", k)
+            keep.append(bool(shared >= COVER * max(ta, tb)) and common(x, y) >= SAME * max(len(x), len(y)))
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def common(x: np.ndarray, y: np.ndarray) -> int:
@@ -164,111 +179,128 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
     return len(x) - v.bit_count()
 
 
-class History:
-    """The persistent tables under ``path``: keys of accepted rows, and chunks and words of accepted texts."""
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.batches = spark, path.rstrip("/"), 0
 
-    def read(self, name: str, schema: str) -> DataFrame:
+class History:
+    """The persistent tables under ``path``; a batch counts once its marker is there. ``buckets`` holds for a new path only."""
+
+    TABLES = {
+        "keys": ("key", "key bigint, seq bigint"),
+        "postings": ("chunk", "chunk bigint, text bigint, size int, n int, total bigint, first bigint"),
+        "texts": ("text", "text bigint, words array<bigint>, chunks array<bigint>, sizes array<int>, total bigint"),
+    }
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        jvm = spark._jvm
+        self._at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{self.path}/_committed/{name}")
+        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._at(""))] if self.fs.exists(self._at("")) else []
+        self.batches = sorted(int(n) for n in names if n.isdigit())
+        kept = [int(n.split("=")[1]) for n in names if n.startswith("buckets=")]
+        if kept:
+            self.buckets = kept[0]
+        else:
+            self.fs.create(self._at(f"buckets={buckets}")).close()
+
+    def read(self, name: str, touched: DataFrame) -> DataFrame:
+        """The rows of a table whose key is among those of ``touched``, a DataFrame with that one column; only its buckets are read."""
+        key, schema = self.TABLES[name]
         if not self.batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{name}/{k:06d}" for k in range(self.batches)])
+        mine = [r[0] for r in touched.select(_bucket(key, self.buckets)).distinct().collect()]  # no more than there are buckets
+        rows = self.spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{self.path}/{name}")
+        rows = rows.filter(F.col("batch").isin(self.batches) & F.col("bucket").isin(mine)).drop("batch", "bucket")
+        return rows.join(touched.select(key).distinct(), key, "left_semi")
+
+    def append(self, **tables: DataFrame) -> None:
+        """Writes a batch; its marker comes last."""
+        k = self.batches[-1] + 1 if self.batches else 0
+        for name, df in tables.items():
+            key, schema = self.TABLES[name]
+            rows = df.select(*(c.split()[0] for c in schema.split(", ")), _bucket(key, self.buckets).alias("bucket"))
+            rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/batch={k}")
+        self.fs.create(self._at(f"{k:06d}")).close()
+        self.batches.append(k)
+
 
-    def append(self, keys: DataFrame, texts: DataFrame, cut: DataFrame) -> None:
-        for name, df in (("keys", keys), ("texts", texts), ("chunks", cut)):
-            df.write.parquet(f"{self.path}/{name}/{self.batches:06d}")
-        self.batches += 1
+def _text_key(text: str) -> Column:
+    return F.xxhash64(F.lit("text"), F.col(text))
 
 
 class Batch:
-    """Rows of articles held against a history and against each other. ``history`` may be empty."""
+    """Rows of articles held against a history and against each other. ``words`` has the columns of ``own_words``; ``history`` may be empty."""
 
     def __init__(self, articles: DataFrame, words: DataFrame, history: History | None = None):
-        spark = articles.sparkSession
-        self.scratch, self.history = Scratch(spark, "history"), history
+        self.scratch, self.history = Scratch(articles.sparkSession, "history"), history
         rows = articles.select(F.col("ingest_seq").cast("bigint").alias("seq"), "source_id", "article_id", "guid", F.array_distinct(F.transform(F.array_distinct(F.array_compact(F.array("url", "canonical_url"))), address)).alias("pages"))
         keys = F.array_compact(F.concat(F.transform("pages", lambda p: F.when(p != "", F.xxhash64(F.lit("page"), p))), F.array(F.when(F.trim("guid") != "", _key("entry", F.col("source_id"), F.trim("guid"))))))
         rows = rows.filter("seq is not null").select("seq", "article_id", keys.alias("keys")).dropDuplicates(["seq"])
-        own = words
-        # A text is named by the earliest row that has it; equal texts are one text.
-        exact = own.select("doc", F.xxhash64("words").alias("same"))
-        named = rows.join(exact, rows["article_id"] == exact["doc"], "left").select("seq", "doc", "keys", "same")
-        self.rows = self.scratch.keep(named.select("seq", "same", "keys", "doc"))
-        first = self.rows.filter("same is not null").groupBy("same").agg(F.min("seq").alias("text"), F.min_by("doc", "seq").alias("doc"))
-        self.texts = self.scratch.keep(first.join(own, "doc").select("text", "same", "words", "bytes"))
-        self.cut = self.scratch.keep(chunks(self.texts))
-
-    def _met(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """a, b: near texts that share enough in chunks that aren't hot; chunks, text of crowded texts in hot chunks; chunks and sizes of all texts."""
-        h = self.history
-        old = h.read("chunks", "text bigint, chunks array<bigint>, sizes array<int>") if h else None
-        mine = self.cut.withColumn("new", F.lit(True))
-        if old is not None:
-            met = self.cut.select(F.explode("chunks").alias("chunk")).distinct()
-            touched = old.select("text", F.explode("chunks").alias("chunk")).join(met, "chunk", "left_semi").select("text").distinct()
-            mine = mine.unionByName(old.join(touched, "text", "left_semi").withColumn("new", F.lit(False)))
-        total = F.aggregate("sizes", F.lit(0), lambda x, y: x + y).alias("total")
-        posting = mine.select("text", "new", total, F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select("text", "new", "total", "c.chunks", "c.sizes")
-        df = posting.groupBy("chunks").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        look = postings = self.scratch.keep(posting.join(df, "chunks"))
+        named = rows.join(words.select("doc", "text"), rows["article_id"] == F.col("doc"), "left").select("seq", "text", "keys", "doc")
+        self.rows = self.scratch.keep(named)
+        # Equal texts are one text, with the earliest row that has it; those that the history has are decided by their key.
+        first = self.rows.filter("text is not null").groupBy("text").agg(F.min("seq").alias("first"), F.min_by("doc", "seq").alias("doc"))
+        if history and history.batches:
+            first = first.withColumn("key", _text_key("text"))
+            first = first.join(history.read("keys", first.select("key")).select("key").distinct(), "key", "left_anti")
+        self.texts = self.scratch.keep(first.select("first", "doc").join(words, "doc").drop("doc"))
+
+    def _postings(self, texts: DataFrame) -> DataFrame:
+        return texts.select("text", "first", "n", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(F.col("c.chunks").alias("chunk"), "text", F.col("c.sizes").alias("size"), "n", "total", "first")
+
+    def _met(self) -> tuple[DataFrame, DataFrame]:
+        """a, b: near texts that share enough in chunks that aren't hot; chunk, text, new, n, first of crowded texts in hot chunks."""
+        mine = self._postings(self.texts).withColumn("new", F.lit(True))
+        df = F.count(F.lit(1)).alias("df")
+        if self.history and self.history.batches:
+            old = self.history.read("postings", mine.select("chunk")).withColumn("new", F.lit(False))
+            mine = self.scratch.keep(mine.unionByName(old))
+        counted = mine.groupBy("chunk").agg(df).filter("df > 1")
+        look = self.scratch.keep(mine.join(counted, "chunk"))
         few = look.filter(F.col("df") <= HOT)
-        a, b = few.select("chunks", "sizes", F.col("text").alias("a"), F.col("new").alias("na"), F.col("total").alias("ta")), few.select("chunks", F.col("text").alias("b"), F.col("new").alias("nb"), F.col("total").alias("tb"))
-        met = a.join(b, "chunks").filter((F.col("a") < F.col("b")) & (F.col("na") | F.col("nb")) & (F.least("ta", "tb") >= 0.8 * F.greatest("ta", "tb")))
-        pairs = met.groupBy("a", "b").agg(F.sum("sizes").alias("shared"), F.max(F.greatest("ta", "tb")).alias("total")).filter(F.col("shared") >= MEET * F.col("total")).select("a", "b")
-        found = self._confirmed(pairs)
-        # Crowded texts: of their hot chunks, rarest first, so many count that what is left holds less than half the bytes.
-        hot_bytes = look.filter(F.col("df") > HOT).groupBy("text").agg(F.sum("sizes").alias("hot"), F.max("total").alias("total"))
-        crowded = hot_bytes.filter(F.col("hot") > CROWDED * F.col("total")).select("text")
-        left_over = F.sum("sizes").over(Window.partitionBy("text").orderBy(F.desc("df"), "chunks"))
-        left = look.filter(F.col("df") > HOT).join(crowded, "text").withColumn("rest", left_over).filter(F.col("rest") > CROWDED * F.col("total")).select("chunks", "text", "new")
-        left = self.scratch.keep(left.select("chunks", "text", "new"))
-        self.scratch.drop(postings)
-        return found, left, mine.select("text", "chunks", "sizes")
-
-    def _covered(self, met: DataFrame, cut: DataFrame) -> DataFrame:
-        """The pairs of ``met`` with enough coverage whose words confirm it."""
-        x, y = cut.select(F.col("text").alias("a"), F.struct("chunks", "sizes").alias("x")), cut.select(F.col("text").alias("b"), F.struct("chunks", "sizes").alias("y"))
-        return self._confirmed(met.join(x, "a").join(y, "b").filter(_coverage("x", "y") >= COVER).select("a", "b"))
-
-    def _crowd(self, left: DataFrame) -> DataFrame:
-        """text, new, same, n (words), past (accepted row of the history) of the texts in ``left``."""
-        names = self.texts.select("text", "same", F.size("words").alias("n"), F.lit(None).cast("bigint").alias("past"))
-        if self.history:
-            old = self.history.read("texts", "text bigint, same bigint, words array<bigint>").select("text", "same", F.size("words").alias("n"), F.xxhash64(F.lit("text"), F.col("same")).alias("key"))
-            seq = self.history.read("keys", "key bigint, seq bigint").groupBy("key").agg(F.min("seq").alias("past"))
-            names = names.unionByName(old.join(seq, "key").drop("key"))
-        return self.scratch.keep(left.select("text", "new").distinct().join(names, "text"))
+        side = lambda k: few.select("chunk", *(F.col(c).alias(f"{k}_{c}") for c in ("text", "n", "total", "first", "new", "size")))
+        met = side("a").join(side("b").drop("b_size").filter("b_new"), "chunk").filter("not a_new or a_first < b_first").filter(F.least("a_n", "b_n") >= SAME * F.greatest("a_n", "b_n"))
+        pairs = met.groupBy(F.col("a_text").alias("a"), F.col("b_text").alias("b")).agg(F.sum("a_size").alias("shared"), F.max(F.greatest("a_total", "b_total")).alias("total"))
+        found = self._confirmed(pairs.filter(F.col("shared") >= (COVER - CROWDED) * F.col("total")).select("a", "b"))
+        # Crowded texts: of their hot chunks the rarest, all but CROWDED of the bytes.
+        hot = look.filter(F.col("df") > HOT).withColumn("all", F.sum("size").over(Window.partitionBy("text", "new"))).filter(F.col("all") > CROWDED * F.col("total"))
+        upto = F.sum("size").over(Window.partitionBy("text", "new").orderBy(F.desc("df"), "chunk"))
+        left = hot.withColumn("upto", upto).filter(F.col("upto") > CROWDED * F.col("total"))
+        left = self.scratch.keep(left.select("chunk", "text", "new", "n", "first"))
+        self.scratch.drop(look, mine)
+        return found, left
 
     def _alive(self, crowd: DataFrame, state: DataFrame) -> DataFrame:
         """The texts of ``crowd`` that have an accepted row, with the earliest one's seq ``p``."""
-        ok = self.rows.filter("same is not null").join(state.filter("state = 2"), "seq", "left_anti").groupBy("same").agg(F.min("seq").alias("first"))
-        own = crowd.join(ok, "same", "left").withColumn("p", F.when(F.col("new"), F.col("first")).otherwise(F.col("past")))
-        return self.scratch.keep(own.filter("p is not null").select("text", "n", "p"))
+        ok = self.rows.filter("text is not null").join(state.filter("state = 2"), "seq", "left_anti").groupBy("text").agg(F.min("seq").alias("own"))
+        own = crowd.join(ok, "text", "left").withColumn("p", F.when(F.col("new"), F.col("own")).otherwise(F.col("first")))
+        return self.scratch.keep(own.filter("p is not null").select("text", "p"))
 
-    def _lead(self, left: DataFrame, alive: DataFrame, tested: DataFrame | None, links: DataFrame | None, cut: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def _lead(self, left: DataFrame, alive: DataFrame, tested: DataFrame | None, links: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Links among the texts in ``alive``, the earliest ones leading, and the texts of them that have met all others.
 
         ``tested`` have met each other before; ``links`` are those that earlier calls found.
         """
-        here = left.join(alive, "text")
+        here = left.drop("first").join(alive, "text")
         if tested is None:
             here = here.withColumn("fresh", F.lit(True))
         else:
             here = here.join(tested.select("text", F.lit(False).alias("known")), "text", "left").withColumn("fresh", F.col("known").isNull()).drop("known")
-            here = here.join(here.filter("fresh").select("chunks").distinct(), "chunks", "left_semi")
+            here = here.join(here.filter("fresh").select("chunk").distinct(), "chunk", "left_semi")
         cur, leaders, found = self.scratch.keep(here), 1, None
         while not cur.isEmpty():
-            place = F.row_number().over(Window.partitionBy("chunks").orderBy("p", "text"))
+            place = F.row_number().over(Window.partitionBy("chunk").orderBy("p", "text"))
             lead = self.scratch.keep(cur.withColumn("place", place).filter(F.col("place") <= leaders).drop("place"))
-            ahead = lead.select("chunks", *(F.col(c).alias(f"a_{c}") for c in ("text", "new", "n", "p", "fresh")))
-            met = cur.join(ahead, "chunks").filter("(a_p < p or a_p = p and a_text < text) and (a_new or new) and (a_fresh or fresh)").filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
+            ahead = lead.select("chunk", *(F.col(c).alias(f"a_{c}") for c in ("text", "new", "n", "p", "fresh")))
+            met = cur.join(ahead, "chunk").filter("(a_p < p or a_p = p and a_text < text) and (a_new or new) and (a_fresh or fresh)").filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
             met = met.select(F.col("a_text").alias("a"), F.col("text").alias("b")).distinct()
             met = met if links is None else met.join(links, ["a", "b"], "left_anti")
-            got = self._covered(met, cut)
+            got = self._confirmed(met)
             found = got if found is None else found.union(got)
             # Texts of the history are accepted, whatever they match.
-            rest = cur.join(lead, ["chunks", "text"], "left_anti").join(got.select(F.col("b").alias("text"), F.lit(True).alias("out")).distinct(), "text", "left").filter("out is null or not new").drop("out")
+            rest = cur.join(lead, ["chunk", "text"], "left_anti").join(got.select(F.col("b").alias("text"), F.lit(True).alias("out")).distinct(), "text", "left").filter("out is null or not new").drop("out")
             following = self.scratch.keep(rest)
             self.scratch.drop(cur, lead)
             cur, leaders = following, leaders * 4
@@ -277,60 +309,56 @@ class Batch:
         return found, self.scratch.keep(alive.select("text").join(out, "text", "left_anti"))
 
     def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose words are the same in order but for the tolerated share."""
-        words = self.texts.select("text", "words")
-        if self.history:
-            words = words.unionByName(self.history.read("texts", "text bigint, same bigint, words array<bigint>").select("text", "words"))
+        """The pairs whose chunks cover enough and whose words confirm it."""
         pairs = self.scratch.keep(pairs)
-        needed = pairs.select(F.col("a").alias("text")).union(pairs.select("b")).distinct()
-        words = self.scratch.keep(words.join(needed, "text", "left_semi"))
-        lw, rw = words.select(F.col("text").alias("a"), F.col("words").alias("left")), words.select(F.col("text").alias("b"), F.col("words").alias("right"))
-        return self.scratch.keep(pairs.join(lw, "a").join(rw, "b").select("a", "b", "left", "right").mapInArrow(_equal_words, "a bigint, b bigint"))
+        needed = pairs.select(F.col("a").alias("text")).union(pairs.select(F.col("b").alias("text"))).distinct()
+        words = self.texts.select("text", "words", "chunks", "sizes", "total").join(needed, "text", "left_semi")
+        if self.history and self.history.batches:
+            words = words.unionByName(self.history.read("texts", needed))
+        side = lambda k, *more: words.select(F.col("text").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("words", "chunks", "total", *more)))
+        both = pairs.join(side("a", "sizes"), "a").join(side("b"), "b")
+        found = self.scratch.keep(both.mapInArrow(_equal_words, "a bigint, b bigint"))
+        self.scratch.drop(pairs)
+        return found
 
     def decide(self) -> DataFrame:
         """kept_seq, dup_seq of every row that repeats an accepted one."""
-        found, left, cut = self._met()
+        found, left = self._met()
         state, repeats = self._decided(found)
         if left.isEmpty():
             return repeats
-        crowd, tested, links = self._crowd(left), None, None
+        crowd, tested, links = self.scratch.keep(left.select("text", "new", "n", "first").distinct()), None, None
         while True:
             alive = self._alive(crowd, state)
             fresh = alive if tested is None else alive.join(tested, "text", "left_anti")
             if fresh.isEmpty():
                 break
-            got, tested = self._lead(left, alive, tested, links, cut)
+            got, tested = self._lead(left, alive, tested, links)
             links = self.scratch.keep(got if links is None else links.union(got).distinct())
             state, repeats = self._decided(found.union(links))
         # The kept row is the earliest: accepted texts that a repetition left before it met them.
-        last = repeats.join(self.rows.select(F.col("seq").alias("dup_seq"), "same"), "dup_seq").groupBy("same").agg(F.max("kept_seq").alias("kept"))
-        gone = crowd.filter("new").join(alive.select("text"), "text", "left_anti").join(last, "same").select("text", "same", "n", "kept")
-        ahead = left.join(alive, "text").select("chunks", F.col("text").alias("a"), F.col("n").alias("a_n"), "p")
-        met = left.select("chunks", "text").join(gone, "text").join(ahead, "chunks").filter(F.col("p") < F.col("kept")).filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
+        last = repeats.join(self.rows.select(F.col("seq").alias("dup_seq"), "text"), "dup_seq").groupBy("text").agg(F.max("kept_seq").alias("kept"))
+        gone = crowd.filter("new").join(alive.select("text"), "text", "left_anti").join(last, "text").select("text", "n", "kept")
+        ahead = left.select("chunk", "text", "n").join(alive, "text").select("chunk", F.col("text").alias("a"), F.col("n").alias("a_n"), "p")
+        met = left.select("chunk", "text").join(gone, "text").join(ahead, "chunk").filter(F.col("p") < F.col("kept")).filter(F.least("a_n", "n") >= SAME * F.greatest("a_n", "n"))
         met = met.select("a", F.col("text").alias("b")).distinct()
         known = found.union(links)
         met = met.join(known.select("a", "b").union(known.select("b", "a")), ["a", "b"], "left_anti")
-        got = self._covered(met, cut).join(alive.select(F.col("text").alias("a"), "p"), "a").groupBy(F.col("b").alias("text")).agg(F.min("p").alias("p"))
-        earlier = self.rows.select(F.col("seq").alias("dup_seq"), "same").join(got.join(crowd.select("text", "same"), "text").select("same", "p"), "same").select("dup_seq", "p")
+        earlier = self._confirmed(met).join(alive.select(F.col("text").alias("a"), "p"), "a").groupBy(F.col("b").alias("text")).agg(F.min("p").alias("p"))
+        earlier = self.rows.select(F.col("seq").alias("dup_seq"), "text").join(earlier, "text").select("dup_seq", "p")
         return repeats.join(earlier, "dup_seq", "left").select(F.least("kept_seq", "p").alias("kept_seq"), "dup_seq")
 
     def _decided(self, near: DataFrame) -> tuple[DataFrame, DataFrame]:
         """seq, state of the rows that any link or key could decide; kept_seq, dup_seq of the repetitions."""
         rows = self.rows
-        text_key = lambda c: F.xxhash64(F.lit("text"), c)
-        name = self.texts.select("same", "text")
-        if self.history:
-            name = name.unionByName(self.history.read("texts", "text bigint, same bigint, words array<bigint>").select("same", "text")).distinct()
-        same_of = name.select(F.col("text").alias("t"), F.col("same"))
-        both = near.select("a", "b").union(near.select("b", "a"))
-        partner = both.join(same_of.withColumnRenamed("t", "a").withColumnRenamed("same", "sa"), "a").join(same_of.withColumnRenamed("t", "b").withColumnRenamed("same", "sb"), "b").select("sa", "sb").distinct()
-        own = rows.select("seq", F.explode(F.array_compact(F.concat("keys", F.array(F.when(F.col("same").isNotNull(), text_key(F.col("same"))))))).alias("key"))
-        look = own.union(rows.join(partner, rows["same"] == partner["sa"]).select("seq", text_key(F.col("sb")).alias("key"))).distinct()
-        past = self.history.read("keys", "key bigint, seq bigint") if self.history else None
+        partner = near.select("a", "b").union(near.select("b", "a")).distinct()
+        own = rows.select("seq", F.explode(F.array_compact(F.concat("keys", F.array(F.when(F.col("text").isNotNull(), _text_key("text")))))).alias("key"))
+        look = own.union(rows.join(partner, rows["text"] == partner["a"]).select("seq", _text_key("b").alias("key"))).distinct()
+        past = None
         # Only keys that two rows meet in, or a row and the history, can decide anything.
         meet = look.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        if past is not None:
-            past = self.scratch.keep(past.join(look.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("seq").alias("seq")))
+        if self.history and self.history.batches:
+            past = self.scratch.keep(self.history.read("keys", look.select("key")).groupBy("key").agg(F.min("seq").alias("seq")))
             meet = meet.union(past.select("key")).distinct()
         own, look = self.scratch.keep(own.join(meet, "key", "left_semi")), self.scratch.keep(look.join(meet, "key", "left_semi"))
         state = self.scratch.keep(look.select("seq").distinct().withColumn("state", F.lit(0)))  # 0 undecided, 1 accepted, 2 repetition
@@ -354,12 +382,28 @@ class Batch:
 
     def accept(self, repetitions: DataFrame) -> None:
         """Appends the batch's accepted rows to the history."""
-        ok = self.rows.join(repetitions.select(F.col("dup_seq").alias("seq")), "seq", "left_anti")
-        keys = ok.select("seq", F.explode(F.array_compact(F.concat("keys", F.array(F.when(F.col("same").isNotNull(), F.xxhash64(F.lit("text"), F.col("same"))))))).alias("key")).groupBy("key").agg(F.min("seq").alias("seq"))
-        kept = self.texts.join(ok.select("same").distinct(), "same", "left_semi")
-        self.history.append(keys, kept.select("text", "same", "words"), self.cut.join(kept.select("text"), "text", "left_semi"))
-
-
-def repetitions(articles: DataFrame, texts: DataFrame) -> DataFrame:
-    """All rows as one batch; the outcome doesn't depend on how rows are cut into batches."""
-    return Batch(articles, own_words(texts, articles)).decide()
+        ok = self.scratch.keep(self.rows.join(repetitions.select(F.col("dup_seq").alias("seq")), "seq", "left_anti"))
+        keys = ok.select("seq", F.explode(F.array_compact(F.concat("keys", F.array(F.when(F.col("text").isNotNull(), _text_key("text")))))).alias("key")).groupBy("key").agg(F.min("seq").alias("seq"))
+        kept = self.texts.drop("first").join(ok.filter("text is not null").groupBy("text").agg(F.min("seq").alias("first")), "text")
+        self.history.append(keys=keys, postings=self._postings(kept), texts=kept)
+
+
+def repetitions(articles: DataFrame, texts: DataFrame, path: str | None = None, batches: int = 3) -> DataFrame:
+    """The rows in ``batches`` parts by ingest_seq, each held against what the history under ``path`` (by default a new
+    one in the shared folder) has accepted; the outcome doesn't depend on how rows are cut into batches."""
+    spark = articles.sparkSession
+    own = own_words(texts, articles)
+    scratch = Scratch(spark, "accepted")
+    past = History(spark, path or f"{scratch.root}/history")
+    cuts = articles.agg(F.percentile_approx("ingest_seq", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    edges = [None, *sorted(set(cuts or [])), None]
+    out = None
+    for lo, hi in zip(edges, edges[1:]):
+        part = articles if lo is None else articles.filter(F.col("ingest_seq") > lo)
+        batch = Batch(part if hi is None else part.filter(F.col("ingest_seq") <= hi), own, past)
+        found = scratch.keep(batch.decide())
+        if hi is not None or path:
+            batch.accept(found)
+        batch.scratch.clear()
+        out = found if out is None else out.union(found)
+    return out

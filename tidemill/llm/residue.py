@@ -55,8 +55,8 @@ _VISIBLE = tokens.PUNCT | tokens.END | tokens.CLOSE
 class Tokens:
     """The words and runs of punctuation of texts: hash, text, line (of all texts' lines), whether a word, whether a filler word."""
 
-    def __init__(self, column: pa.Array):
-        self.flat = flat = tokens.Flat(column)
+    def __init__(self, column: pa.Array, flat: tokens.Flat | None = None):
+        self.flat = flat = flat or tokens.Flat(column)
         start, end, kind = flat.split({tokens.LETTER | tokens.MARK: 1, _VISIBLE: 2})
         self.codes, self.row, self.word = flat.hashes(start, end), flat.row_of(start), kind == 1
         self.start, self.end = start, end
