@@ -193,7 +193,9 @@ class Residue:
         y = rows["label"].to_numpy()
         if len(set(y)) < 2:
             return None
-        return fit(*features(Tokens(rows["text"].combine_chunks()), rows["title"].to_pylist(), rows["status"].to_pylist()), y)
+        # Piece by piece, as the driver has little memory.
+        parts = [features(Tokens(b["text"]), b["title"].to_pylist(), b["status"].to_pylist()) for b in tokens.pieces(iter(rows.combine_chunks().to_batches()), "text")]
+        return fit(np.concatenate([p[0].astype(np.int32) for p in parts]), *(np.concatenate([p[k] for p in parts]) for k in (1, 2)), y)
 
     def scored(self) -> DataFrame:
         """doc, host, residue (0 to 1) of every row."""
