@@ -19,7 +19,7 @@ their hot chunks, all but ``CROWDED`` of their bytes of the most frequent ones,
 
 Hot groups: equal texts are one text. The links found outside hot chunks are decided first; only crowded texts with an
 accepted row then meet in hot chunks. A chunk pairs each of them with the earliest accepted one only; those that match are
-out, and the rest meets the next 4, 16, 64 ... until all have met. Copies of one text match its first and are out after
+out, and the rest meets the next 32, 1,024 ... until all have met. Copies of one text match its first and are out after
 the first round, so no step emits all pairs of a group. Then all is decided again: texts that have an accepted row though
 they were out (their leader turned out to be a repetition) meet the other accepted ones anew, until no text is left that has an
 accepted row and hasn't met all others that have one. At last repetitions meet the accepted texts before their kept row.
@@ -46,7 +46,7 @@ from tidemill.session import Scratch
 
 #: A word of so many ends a chunk; the most words of a chunk; share of its bytes that two texts must have in common to be compared; texts from which a chunk is
 #: hot; share of hot bytes from which a text is crowded; least share of equal words in order.
-CHUNK, LONGEST, COVER, HOT, CROWDED, SAME = 4, 6, 0.3, 32, 0.25, 0.87
+CHUNK, LONGEST, COVER, HOT, CROWDED, SAME = 5, 8, 0.35, 32, 0.3, 0.87
 #: Parts of every table of the history, of which a batch reads those that its keys, chunks and texts fall into.
 BUCKETS = 16
 
@@ -303,7 +303,7 @@ class Batch:
             rest = cur.join(lead, ["chunk", "text"], "left_anti").join(got.select(F.col("b").alias("text"), F.lit(True).alias("out")).distinct(), "text", "left").filter("out is null or not new").drop("out")
             following = self.scratch.keep(rest)
             self.scratch.drop(cur, lead)
-            cur, leaders = following, leaders * 4
+            cur, leaders = following, leaders * 32
         old = left.filter("not new").select("text").distinct()
         out = found.select(F.col("b").alias("text")).distinct().join(old, "text", "left_anti")
         return found, self.scratch.keep(alive.select("text").join(out, "text", "left_anti"))
