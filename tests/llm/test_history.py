@@ -118,7 +118,8 @@ def test_batches_equal_one_batch(spark, tmp_path):
     assert got == brute(rows, words)
 
 
-def test_hot_group_of_copies_and_empty(spark):
+def test_hot_group_of_copies_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(H, "DIRECT", 8)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(80)]
     rows, words = [], {}
@@ -169,7 +170,8 @@ def in_batches(spark, path, rows, words, cuts):
     return got
 
 
-def test_hot_group_whose_first_row_is_a_repetition(spark, tmp_path):
+def test_hot_group_whose_first_row_is_a_repetition(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(H, "DIRECT", 8)
     rows, words = hot_groups(3, families=1, n=80)
     rows = [r[:3] + (f"https://h.example/{r[1]}", *r[4:]) if r[1][0] == "a" else r for r in rows]
     got = {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()}
@@ -177,7 +179,8 @@ def test_hot_group_whose_first_row_is_a_repetition(spark, tmp_path):
     assert in_batches(spark, str(tmp_path), rows, words, (0, 20, 50, len(rows))) == got
 
 
-def test_hot_groups_against_brute_force(spark):
+def test_hot_groups_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(H, "DIRECT", 8)
     rows, words = hot_groups(5)
     assert {tuple(r) for r in H.Batch(*tables(spark, rows, words)).decide().collect()} == brute(rows, words)
 
@@ -218,8 +221,9 @@ def test_a_small_batch_reads_its_buckets_only(spark, tmp_path):
     assert "bucket#" in scan and "batch#" in scan and all(str(i) in scan for i in ids) and len(ids) < 3
 
 
-def test_copies_in_every_chunk_hot_and_rare(spark):
+def test_copies_in_every_chunk_hot_and_rare(spark, monkeypatch):
     """Pairs that share nothing but hot chunks meet, too."""
+    monkeypatch.setattr(H, "DIRECT", 8)
     rng = random.Random(4)
     parts = [[f"p{i}.{j}" for j in range(12)] for i in range(6)]
     rows, words = [], {}

@@ -108,12 +108,14 @@ def flagged(texts: DataFrame, *keep: str, lines: repeated_lines.RepeatedLines |
     return rows.select(F.col("doc").alias("article_id"), *keep, "content_text", hot.alias("hot"))
 
 
-def scored(rows: DataFrame, model: residue.Residue, articles: DataFrame) -> tuple[DataFrame, np.ndarray | None]:
-    """``rows`` of ``flagged`` with ``title`` and ``status``, for a task that tells texts without an article by the
-    weights as it reads them; where no model could be fitted, such texts are left out here."""
+def scored(rows: DataFrame, model: residue.Residue, articles: DataFrame, more: DataFrame | None = None) -> tuple[DataFrame, np.ndarray | None]:
+    """``rows`` of ``flagged`` with ``title``, ``status`` and the columns of ``more`` (by article_id), for a task that tells texts
+    without an article by the weights as it reads them; where no model could be fitted, such texts are left out here."""
     if model.weights is not None:
-        return rows.join(residue.titles(articles), "article_id", "left"), model.weights
+        titles = residue.titles(articles)
+        return rows.join(titles if more is None else titles.join(more, "article_id"), "article_id", "left"), model.weights
     left = rows.join(model.cases(), F.col("article_id") == F.col("doc"), "left_anti")
+    left = left if more is None else left.join(more, "article_id", "left")
     return left.withColumns({"title": F.lit(None).cast("string"), "status": F.lit(None).cast("int")}), None
 
 

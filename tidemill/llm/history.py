@@ -17,8 +17,8 @@ Exact for every pair above ``COVER``: bytes in chunks of more than ``HOT`` texts
 shares at least ``COVER - CROWDED`` with the other in chunks that aren't. Of two texts that are crowded both keep the rarest of
 their hot chunks, all but ``CROWDED`` of their bytes of the most frequent ones, and so meet in one of these.
 
-Hot groups: equal texts are one text. The links found outside hot chunks are decided first; only crowded texts with an
-accepted row then meet in hot chunks. A chunk pairs each of them with the earliest accepted one only; those that match are
+Hot groups: equal texts are one text. Chunks with up to ``DIRECT`` crowded texts pair them like chunks that aren't hot. For larger
+ones the links found so far are decided first; only crowded texts with an accepted row then meet in them. A chunk pairs each of them with the earliest accepted one only; those that match are
 out, and the rest meets the next 32, 1,024 ... until all have met. Copies of one text match its first and are out after
 the first round, so no step emits all pairs of a group. Then all is decided again: texts that have an accepted row though
 they were out (their leader turned out to be a repetition) meet the other accepted ones anew, until no text is left that has an
@@ -47,6 +47,8 @@ from tidemill.session import Scratch
 #: A word of so many ends a chunk; the most words of a chunk; share of its bytes that two texts must have in common to be compared; texts from which a chunk is
 #: hot; share of hot bytes from which a text is crowded; least share of equal words in order.
 CHUNK, LONGEST, COVER, HOT, CROWDED, SAME = 5, 8, 0.35, 32, 0.3, 0.87
+#: Crowded texts of a chunk up to which all of them meet; more than these meet by leaders.
+DIRECT = 256
 #: Parts of every table of the history, of which a batch reads those that its keys, chunks and texts fall into.
 BUCKETS = 16
 
@@ -75,17 +77,20 @@ def _key(kind: str, *parts: Column) -> Column:
 _OWN = "text bigint, words array<bigint>, n int, chunks array<bigint>, sizes array<int>, total bigint"
 
 
-def own_words(texts: DataFrame, articles: DataFrame) -> DataFrame:
-    """doc, text (a hash of its words), words (hashes in order), n, chunks, sizes, total of the own prose of every text that holds an article."""
+def own_words(texts: DataFrame, articles: DataFrame, part: Column | None = None) -> DataFrame:
+    """doc, text (a hash of its words), words (hashes in order), n, chunks, sizes, total of the own prose of every text that
+    holds an article, and parts: the values of ``part`` (few) that the article's rows have."""
     lines = repeated_lines.RepeatedLines(texts, keep=("content_text",))
-    rows, weights = boilerplate.scored(boilerplate.flagged(texts, lines=lines), residue.Residue(texts, articles), articles)
+    parts = articles.filter("article_id is not null").groupBy("article_id").agg(F.collect_set(F.lit(0) if part is None else part).alias("parts"))
+    rows, weights = boilerplate.scored(boilerplate.flagged(texts, lines=lines), residue.Residue(texts, articles), articles, parts)
     kind = texts.schema["article_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tokens.pieces(batches, "content_text"):
             yield _own_words(b, weights)
 
-    own = Scratch(texts.sparkSession, "own-words").keep(rows.select("article_id", "content_text", "hot", "title", "status").mapInArrow(run, f"doc {kind}, {_OWN}"))
+    own = rows.select("article_id", "content_text", "hot", "title", "status", "parts").mapInArrow(run, f"doc {kind}, {_OWN}, parts array<int>")
+    own = Scratch(texts.sparkSession, "own-words").keep(own)
     lines.scratch.drop(lines.rows, lines.marked, lines.blocks)
     return own
 
@@ -99,7 +104,9 @@ def _own_words(b: pa.RecordBatch, weights: np.ndarray | None) -> pa.RecordBatch:
     row = flat.row_of(start)
     keep = own[np.searchsorted(np.nonzero(flat.classes == tokens.LINE)[0], start) + row]  # lines before it: the breaks, and one a text
     start, end, row = start[keep], end[keep], row[keep]
-    return chunked(b["article_id"], flat.hashes(start, end), (end - start).astype(np.int64), np.bincount(row, minlength=b.num_rows), "doc")
+    per = np.bincount(row, minlength=b.num_rows)
+    out = chunked(b["article_id"], flat.hashes(start, end), (end - start).astype(np.int64), per, "doc")
+    return out.append_column("parts", b["parts"].filter(pa.array(per > 0)))
 
 
 def chunked(ids: pa.Array, words: np.ndarray, length: np.ndarray, per: np.ndarray, name: str) -> pa.RecordBatch:
@@ -205,14 +212,16 @@ class History:
         else:
             self.fs.create(self._at(f"buckets={buckets}")).close()
 
-    def read(self, name: str, touched: DataFrame) -> DataFrame:
-        """The rows of a table whose key is among those of ``touched``, a DataFrame with that one column; only its buckets are read."""
+    def read(self, name: str, touched: DataFrame, few: bool = True) -> DataFrame:
+        """The rows of a table whose key is among those of ``touched``, a DataFrame with that one column; if they are ``few`` only their buckets are read."""
         key, schema = self.TABLES[name]
         if not self.batches:
             return self.spark.createDataFrame([], schema)
-        mine = [r[0] for r in touched.select(_bucket(key, self.buckets)).distinct().collect()]  # no more than there are buckets
-        rows = self.spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{self.path}/{name}")
-        rows = rows.filter(F.col("batch").isin(self.batches) & F.col("bucket").isin(mine)).drop("batch", "bucket")
+        rows = self.spark.read.schema(f"{schema}, batch int, bucket int").parquet(f"{self.path}/{name}").filter(F.col("batch").isin(self.batches))
+        if few:
+            mine = [r[0] for r in touched.select(_bucket(key, self.buckets)).distinct().collect()]  # no more than there are buckets
+            rows = rows.filter(F.col("bucket").isin(mine))
+        rows = rows.drop("batch", "bucket")
         return rows.join(touched.select(key).distinct(), key, "left_semi")
 
     def append(self, **tables: DataFrame) -> None:
@@ -240,12 +249,14 @@ class Batch:
         rows = rows.filter("seq is not null").select("seq", "article_id", keys.alias("keys")).dropDuplicates(["seq"])
         named = rows.join(words.select("doc", "text"), rows["article_id"] == F.col("doc"), "left").select("seq", "text", "keys", "doc")
         self.rows = self.scratch.keep(named)
+        # A batch of many rows touches every bucket.
+        self.few = bool(history and history.batches) and self.rows.limit(8 * history.buckets).count() < 8 * history.buckets
         # Equal texts are one text, with the earliest row that has it; those that the history has are decided by their key.
         first = self.rows.filter("text is not null").groupBy("text").agg(F.min("seq").alias("first"), F.min_by("doc", "seq").alias("doc"))
         if history and history.batches:
             first = first.withColumn("key", _text_key("text"))
-            first = first.join(history.read("keys", first.select("key")).select("key").distinct(), "key", "left_anti")
-        self.texts = self.scratch.keep(first.select("first", "doc").join(words, "doc").drop("doc"))
+            first = first.join(history.read("keys", first.select("key"), self.few).select("key").distinct(), "key", "left_anti")
+        self.texts = self.scratch.keep(first.select("first", "doc").join(words, "doc").select("first", *(c.split()[0] for c in _OWN.split(", "))))
 
     def _postings(self, texts: DataFrame) -> DataFrame:
         return texts.select("text", "first", "n", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(F.col("c.chunks").alias("chunk"), "text", F.col("c.sizes").alias("size"), "n", "total", "first")
@@ -255,22 +266,22 @@ class Batch:
         mine = self._postings(self.texts).withColumn("new", F.lit(True))
         df = F.count(F.lit(1)).alias("df")
         if self.history and self.history.batches:
-            old = self.history.read("postings", mine.select("chunk")).withColumn("new", F.lit(False))
+            old = self.history.read("postings", mine.select("chunk"), self.few).withColumn("new", F.lit(False))
             mine = self.scratch.keep(mine.unionByName(old))
         counted = mine.groupBy("chunk").agg(df).filter("df > 1")
         look = self.scratch.keep(mine.join(counted, "chunk"))
-        few = look.filter(F.col("df") <= HOT)
-        side = lambda k: few.select("chunk", *(F.col(c).alias(f"{k}_{c}") for c in ("text", "n", "total", "first", "new", "size")))
-        met = side("a").join(side("b").drop("b_size").filter("b_new"), "chunk").filter("not a_new or a_first < b_first").filter(F.least("a_n", "b_n") >= SAME * F.greatest("a_n", "b_n"))
-        pairs = met.groupBy(F.col("a_text").alias("a"), F.col("b_text").alias("b")).agg(F.sum("a_size").alias("shared"), F.max(F.greatest("a_total", "b_total")).alias("total"))
-        found = self._confirmed(pairs.filter(F.col("shared") >= (COVER - CROWDED) * F.col("total")).select("a", "b"))
         # Crowded texts: of their hot chunks the rarest, all but CROWDED of the bytes.
         hot = look.filter(F.col("df") > HOT).withColumn("all", F.sum("size").over(Window.partitionBy("text", "new"))).filter(F.col("all") > CROWDED * F.col("total"))
         upto = F.sum("size").over(Window.partitionBy("text", "new").orderBy(F.desc("df"), "chunk"))
         left = hot.withColumn("upto", upto).filter(F.col("upto") > CROWDED * F.col("total"))
-        left = self.scratch.keep(left.select("chunk", "text", "new", "n", "first"))
+        left = self.scratch.keep(left.join(left.groupBy("chunk").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "chunk").select(*look.columns, "crowd"))
+        few = look.filter(F.col("df") <= HOT).unionByName(left.filter(F.col("crowd") <= DIRECT).drop("crowd"))
+        side = lambda k: few.select("chunk", *(F.col(c).alias(f"{k}_{c}") for c in ("text", "n", "total", "first", "new", "size")))
+        met = side("a").join(side("b").drop("b_size").filter("b_new"), "chunk").filter("not a_new or a_first < b_first").filter(F.least("a_n", "b_n") >= SAME * F.greatest("a_n", "b_n"))
+        pairs = met.groupBy(F.col("a_text").alias("a"), F.col("b_text").alias("b")).agg(F.sum("a_size").alias("shared"), F.max(F.greatest("a_total", "b_total")).alias("total"))
+        found = self._confirmed(pairs.filter(F.col("shared") >= (COVER - CROWDED) * F.col("total")).select("a", "b"))
         self.scratch.drop(look, mine)
-        return found, left
+        return found, left.filter(F.col("crowd") > DIRECT).select("chunk", "text", "new", "n", "first")
 
     def _alive(self, crowd: DataFrame, state: DataFrame) -> DataFrame:
         """The texts of ``crowd`` that have an accepted row, with the earliest one's seq ``p``."""
@@ -314,7 +325,7 @@ class Batch:
         needed = pairs.select(F.col("a").alias("text")).union(pairs.select(F.col("b").alias("text"))).distinct()
         words = self.texts.select("text", "words", "chunks", "sizes", "total").join(needed, "text", "left_semi")
         if self.history and self.history.batches:
-            words = words.unionByName(self.history.read("texts", needed))
+            words = words.unionByName(self.history.read("texts", needed, self.few))
         side = lambda k, *more: words.select(F.col("text").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("words", "chunks", "total", *more)))
         both = pairs.join(side("a", "sizes"), "a").join(side("b"), "b")
         found = self.scratch.keep(both.mapInArrow(_equal_words, "a bigint, b bigint"))
@@ -358,7 +369,7 @@ class Batch:
         # Only keys that two rows meet in, or a row and the history, can decide anything.
         meet = look.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
         if self.history and self.history.batches:
-            past = self.scratch.keep(self.history.read("keys", look.select("key")).groupBy("key").agg(F.min("seq").alias("seq")))
+            past = self.scratch.keep(self.history.read("keys", look.select("key"), self.few).groupBy("key").agg(F.min("seq").alias("seq")))
             meet = meet.union(past.select("key")).distinct()
         own, look = self.scratch.keep(own.join(meet, "key", "left_semi")), self.scratch.keep(look.join(meet, "key", "left_semi"))
         state = self.scratch.keep(look.select("seq").distinct().withColumn("state", F.lit(0)))  # 0 undecided, 1 accepted, 2 repetition
@@ -384,7 +395,10 @@ class Batch:
         """Appends the batch's accepted rows to the history."""
         ok = self.scratch.keep(self.rows.join(repetitions.select(F.col("dup_seq").alias("seq")), "seq", "left_anti"))
         keys = ok.select("seq", F.explode(F.array_compact(F.concat("keys", F.array(F.when(F.col("text").isNotNull(), _text_key("text")))))).alias("key")).groupBy("key").agg(F.min("seq").alias("seq"))
-        kept = self.texts.drop("first").join(ok.filter("text is not null").groupBy("text").agg(F.min("seq").alias("first")), "text")
+        # Only texts whose earliest row was no accepted one change; they are few beside the texts themselves.
+        own = ok.filter("text is not null").groupBy("text").agg(F.min("seq").alias("own"))
+        moved = self.texts.select("text", "first").join(own, "text", "left").filter("own is null or own != first").select("text", "own", F.lit(True).alias("moved"))
+        kept = self.texts.join(self.scratch.keep(moved), "text", "left").filter("moved is null or own is not null").withColumn("first", F.coalesce("own", "first"))
         self.history.append(keys=keys, postings=self._postings(kept), texts=kept)
 
 
@@ -392,17 +406,17 @@ def repetitions(articles: DataFrame, texts: DataFrame, path: str | None = None,
     """The rows in ``batches`` parts by ingest_seq, each held against what the history under ``path`` (by default a new
     one in the shared folder) has accepted; the outcome doesn't depend on how rows are cut into batches."""
     spark = articles.sparkSession
-    own = own_words(texts, articles)
+    cuts = articles.agg(F.percentile_approx("ingest_seq", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []))
+    part = sum(((F.col("ingest_seq") > c).cast("int") for c in cuts), F.lit(0))
+    own = own_words(texts, articles, part)
     scratch = Scratch(spark, "accepted")
     past = History(spark, path or f"{scratch.root}/history")
-    cuts = articles.agg(F.percentile_approx("ingest_seq", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []
-    edges = [None, *sorted(set(cuts or [])), None]
     out = None
-    for lo, hi in zip(edges, edges[1:]):
-        part = articles if lo is None else articles.filter(F.col("ingest_seq") > lo)
-        batch = Batch(part if hi is None else part.filter(F.col("ingest_seq") <= hi), own, past)
+    for k in range(len(cuts) + 1):
+        batch = Batch(articles.filter(part == k), own.filter(F.array_contains("parts", k)), past)
         found = scratch.keep(batch.decide())
-        if hi is not None or path:
+        if k < len(cuts) or path:
             batch.accept(found)
         batch.scratch.clear()
         out = found if out is None else out.union(found)
