@@ -51,13 +51,15 @@ NOTICES = ("cookie", "privacy", "consent", "opt out", "newsletter", "subscri", "
 GONE, TEXT, ROW, NAME, LINKED, EMPTY = range(6)
 
 
-def length(line: str, repeated: bool) -> tuple[int, float]:
-    """What a line is, and its length after the markup was stripped."""
+def length(line: str, repeated: bool, notices: tuple[str, ...] | list[str] = NOTICES) -> tuple[int, float]:
+    """What a line is, and its length after the markup was stripped; ``notices`` are those that the text has at all."""
     raw = line.strip()
     if not raw:
         return EMPTY, 0.0
+    if repeated:
+        return GONE, 0.0
     s = " ".join((_TAG.sub(" ", raw) if "<" in raw else raw).split())
-    if repeated or not s or _SLOT.match(raw):
+    if not s or _SLOT.match(raw):
         return GONE, 0.0
     if _ITEM.match(s):
         return ROW, 2.0 * len(s)
@@ -68,8 +70,8 @@ def length(line: str, repeated: bool) -> tuple[int, float]:
     elif words < SENTENCE or (prose[-1] == "?" and words < 2 * SENTENCE and not _END.match(prose)):
         prose = ""
     if prose:
-        low = s.lower()
-        return TEXT, float(max(0, len(prose) - NOTICE * sum(low.count(w) for w in NOTICES)))
+        low = s.lower() if notices else ""
+        return TEXT, float(max(0, len(prose) - NOTICE * sum([low.count(w) for w in notices])))
     if _LINK.search(raw):
         return LINKED, 0.0
     return NAME, LABEL * len(s)
@@ -77,7 +79,9 @@ def length(line: str, repeated: bool) -> tuple[int, float]:
 
 def own_lines(lines: list[str], repeated: list[bool]) -> list[int]:
     """1 for an own line, 0 for a foreign one, -1 for an empty one."""
-    kinds = [length(x, r) for x, r in zip(lines, repeated)]
+    low = "\n".join(lines).lower()
+    notices = [w for w in NOTICES if w in low]
+    kinds = [length(x, r, notices) for x, r in zip(lines, repeated)]
     own = [-1 if k == EMPTY else 0 for k, _ in kinds]
     left = [i for i, (k, _) in enumerate(kinds) if k not in (GONE, EMPTY)]
     size = [kinds[i][1] for i in left]

@@ -27,7 +27,7 @@ accepted row and hasn't met all others that have one. At last repetitions meet t
 The order of decisions is kept by rounds: a row is accepted once no undecided earlier row could be
 its original, and is a repetition as soon as an accepted earlier one is. The kept row is the earliest.
 
-Defined results: words are runs of letters or digits; null addresses, guids and texts take no part; empty own prose and texts that hold no
+Defined results: words are runs of letters or digits, of which 63 characters count at most; null addresses, guids and texts take no part; empty own prose and texts that hold no
 article (problem 7) never make a repetition; equal guids of different feeds don't either; a repeated
 ingest_seq is one row. The residue model and the repeated lines are those of the texts given to ``own_words``.
 """
@@ -105,7 +105,7 @@ def _own_words(b: pa.RecordBatch, weights: np.ndarray | None) -> pa.RecordBatch:
     keep = own[np.searchsorted(np.nonzero(flat.classes == tokens.LINE)[0], start) + row]  # lines before it: the breaks, and one a text
     start, end, row = start[keep], end[keep], row[keep]
     per = np.bincount(row, minlength=b.num_rows)
-    out = chunked(b["article_id"], flat.hashes(start, end), (end - start).astype(np.int64), per, "doc")
+    out = chunked(b["article_id"], flat.hashes(start, end), np.minimum(end - start, 63), per, "doc")
     return out.append_column("parts", b["parts"].filter(pa.array(per > 0)))
 
 
@@ -195,8 +195,8 @@ class History:
 
     TABLES = {
         "keys": ("key", "key bigint, seq bigint"),
-        "postings": ("chunk", "chunk bigint, text bigint, size int, n int, total bigint, first bigint"),
-        "texts": ("text", "text bigint, words array<bigint>, chunks array<bigint>, sizes array<int>, total bigint"),
+        "postings": ("chunk", "chunk bigint, text bigint, w bigint"),
+        "texts": ("text", "text bigint, words array<bigint>, chunks array<bigint>, sizes array<int>, total bigint, first bigint"),
     }
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
@@ -235,6 +235,20 @@ class History:
         self.batches.append(k)
 
 
+# A posting's numbers in one: whether the text is new, its words, its bytes, the chunk's bytes. Numbers that don't fit are
+# taken as the largest that do, which lets only more pairs through to the comparison itself.
+_NEW, _N, _TOTAL, _SIZE = (61, 1), (37, 24), (10, 27), (0, 10)
+
+
+def _packed(n: Column, total: Column, size: Column) -> Column:
+    put = lambda c, at: F.shiftleft(F.least(c.cast("bigint"), F.lit((1 << at[1]) - 1)), at[0])
+    return put(n, _N).bitwiseOR(put(total, _TOTAL)).bitwiseOR(put(size, _SIZE))
+
+
+def _part(w: str, at: tuple[int, int]) -> Column:
+    return F.shiftright(F.col(w), at[0]).bitwiseAND(F.lit((1 << at[1]) - 1))
+
+
 def _text_key(text: str) -> Column:
     return F.xxhash64(F.lit("text"), F.col(text))
 
@@ -259,29 +273,36 @@ class Batch:
         self.texts = self.scratch.keep(first.select("first", "doc").join(words, "doc").select("first", *(c.split()[0] for c in _OWN.split(", "))))
 
     def _postings(self, texts: DataFrame) -> DataFrame:
-        return texts.select("text", "first", "n", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c")).select(F.col("c.chunks").alias("chunk"), "text", F.col("c.sizes").alias("size"), "n", "total", "first")
+        """chunk, text, w of every chunk of the texts."""
+        out = texts.select("text", "n", "total", F.explode(F.arrays_zip("chunks", "sizes")).alias("c"))
+        return out.select(F.col("c.chunks").alias("chunk"), "text", _packed(F.col("n"), F.col("total"), F.col("c.sizes")).alias("w"))
 
     def _met(self) -> tuple[DataFrame, DataFrame]:
         """a, b: near texts that share enough in chunks that aren't hot; chunk, text, new, n, first of crowded texts in hot chunks."""
-        mine = self._postings(self.texts).withColumn("new", F.lit(True))
-        df = F.count(F.lit(1)).alias("df")
-        if self.history and self.history.batches:
-            old = self.history.read("postings", mine.select("chunk"), self.few).withColumn("new", F.lit(False))
-            mine = self.scratch.keep(mine.unionByName(old))
-        counted = mine.groupBy("chunk").agg(df).filter("df > 1")
+        mine = self._postings(self.texts).withColumn("w", F.col("w").bitwiseOR(F.lit(1 << _NEW[0])))
+        old = bool(self.history and self.history.batches)
+        if old:
+            mine = self.scratch.keep(mine.unionByName(self.history.read("postings", mine.select("chunk"), self.few)))
+        counted = mine.groupBy("chunk").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
         look = self.scratch.keep(mine.join(counted, "chunk"))
         # Crowded texts: of their hot chunks the rarest, all but CROWDED of the bytes.
-        hot = look.filter(F.col("df") > HOT).withColumn("all", F.sum("size").over(Window.partitionBy("text", "new"))).filter(F.col("all") > CROWDED * F.col("total"))
-        upto = F.sum("size").over(Window.partitionBy("text", "new").orderBy(F.desc("df"), "chunk"))
-        left = hot.withColumn("upto", upto).filter(F.col("upto") > CROWDED * F.col("total"))
-        left = self.scratch.keep(left.join(left.groupBy("chunk").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "chunk").select(*look.columns, "crowd"))
-        few = look.filter(F.col("df") <= HOT).unionByName(left.filter(F.col("crowd") <= DIRECT).drop("crowd"))
-        side = lambda k: few.select("chunk", *(F.col(c).alias(f"{k}_{c}") for c in ("text", "n", "total", "first", "new", "size")))
-        met = side("a").join(side("b").drop("b_size").filter("b_new"), "chunk").filter("not a_new or a_first < b_first").filter(F.least("a_n", "b_n") >= SAME * F.greatest("a_n", "b_n"))
-        pairs = met.groupBy(F.col("a_text").alias("a"), F.col("b_text").alias("b")).agg(F.sum("a_size").alias("shared"), F.max(F.greatest("a_total", "b_total")).alias("total"))
-        found = self._confirmed(pairs.filter(F.col("shared") >= (COVER - CROWDED) * F.col("total")).select("a", "b"))
+        hot = look.filter(F.col("df") > HOT).withColumns({"size": _part("w", _SIZE), "total": _part("w", _TOTAL)})
+        hot = hot.withColumn("all", F.sum("size").over(Window.partitionBy("text"))).filter(F.col("all") > CROWDED * F.col("total"))
+        upto = F.sum("size").over(Window.partitionBy("text").orderBy(F.desc("df"), "chunk"))
+        left = hot.withColumn("upto", upto).filter(F.col("upto") > CROWDED * F.col("total")).select("chunk", "text", "w")
+        left = self.scratch.keep(left.join(left.groupBy("chunk").agg(F.count(F.lit(1)).alias("crowd")).filter("crowd > 1"), "chunk"))
+        few = look.filter(F.col("df") <= HOT).select("chunk", "text", "w").unionByName(left.filter(F.col("crowd") <= DIRECT).drop("crowd"))
+        side = lambda k: few.select("chunk", F.col("text").alias(k), F.col("w").alias(f"{k}_w"))
+        n, m, t, u = _part("a_w", _N), _part("b_w", _N), _part("a_w", _TOTAL), _part("b_w", _TOTAL)
+        met = side("a").join(side("b"), "chunk").filter((F.col("a") < F.col("b")) & (F.col("a_w").bitwiseOR(F.col("b_w")) >= F.lit(1 << _NEW[0])) & (F.least(n, m) >= SAME * F.greatest(n, m)))
+        pairs = met.groupBy("a", "b").agg(F.sum(_part("a_w", _SIZE)).alias("shared"), F.max(F.greatest(t, u)).alias("larger"))
+        found = self._confirmed(pairs.filter(F.col("shared") >= (COVER - CROWDED) * F.col("larger")).select("a", "b"))
         self.scratch.drop(look, mine)
-        return found, left.filter(F.col("crowd") > DIRECT).select("chunk", "text", "new", "n", "first")
+        left = left.filter(F.col("crowd") > DIRECT).select("chunk", "text", (_part("w", _NEW) == 1).alias("new"), _part("w", _N).alias("n"))
+        first = self.texts.select("text", "first")
+        if old:
+            first = first.unionByName(self.history.read("texts", left.filter("not new").select("text"), self.few).select("text", "first"))
+        return found, left.join(first, "text")
 
     def _alive(self, crowd: DataFrame, state: DataFrame) -> DataFrame:
         """The texts of ``crowd`` that have an accepted row, with the earliest one's seq ``p``."""
@@ -325,7 +346,7 @@ class Batch:
         needed = pairs.select(F.col("a").alias("text")).union(pairs.select(F.col("b").alias("text"))).distinct()
         words = self.texts.select("text", "words", "chunks", "sizes", "total").join(needed, "text", "left_semi")
         if self.history and self.history.batches:
-            words = words.unionByName(self.history.read("texts", needed, self.few))
+            words = words.unionByName(self.history.read("texts", needed, self.few).drop("first"))
         side = lambda k, *more: words.select(F.col("text").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("words", "chunks", "total", *more)))
         both = pairs.join(side("a", "sizes"), "a").join(side("b"), "b")
         found = self.scratch.keep(both.mapInArrow(_equal_words, "a bigint, b bigint"))
@@ -335,6 +356,7 @@ class Batch:
     def decide(self) -> DataFrame:
         """kept_seq, dup_seq of every row that repeats an accepted one."""
         found, left = self._met()
+        left = self.scratch.keep(left)
         state, repeats = self._decided(found)
         if left.isEmpty():
             return repeats
