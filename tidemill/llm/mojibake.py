@@ -1,7 +1,7 @@
 """Text decoded with the wrong encoding, found and restored (problem 5).
 
-1. Statistics. Adjacent character pairs are counted over all values that are known to be sound (the
-   hash taken at collection still fits), and scored by their mutual information; a pair that sound
+1. Statistics. Adjacent character pairs are counted over all values that are well formed (no lost letter, control sign or
+   sequence that a wrong decoding makes), whatever is known of their hashes, and scored by their mutual information; a pair that such
    text never has gets ``UNSEEN``. Counts are kept by hashed pair in a table of fixed size.
 2. Runs. In a value that is not known to be sound, the maximum-scoring segments of improbability are
    isolated, so that a long sound text doesn't hide a short damaged run.
@@ -10,7 +10,8 @@
    are resolved first. A mapping counts if it is possible for the bytes and the outcome is
    more probable by the pair scores. A run in which letters were replaced or lost can't be restored.
 
-Where the hash at collection is known, it also proves a restored text.
+Detection and repair need no hashes. Where the hash taken at collection is known it is proof: a value that still
+fits it is sound and isn't looked at, and a restored text that fits it is right.
 
 Defined results: null and empty values are sound; sound text with unusual signs, other scripts, a
 lone capital with an accent, question marks, or character references of sound text is no case; very
@@ -245,11 +246,24 @@ def _apply(text: str, runs: list[tuple[int, int]], score: Scores) -> str | None:
     return "".join(out) if changed else None
 
 
+_PAIRED = re.compile("[^\x00-\x7f]{2}")
+
+
+def well_formed(text: str) -> bool:
+    """No lost letter, stray lead sign or control sign, and no sequence that a wrong decoding makes."""
+    if _LOST.search(text):
+        return False
+    if text.isascii():
+        return True
+    if _CUT.search(text) or _CONTROL.search(text):
+        return False
+    return not _PAIRED.search(text) or all(_sequences(text, w) is None for w in USUAL)
+
+
 def _well_formed(values: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ok = [all(_sequences(x, w) is None for w in USUAL) for x in b["value"].to_pylist()]
-            yield b.filter(pa.array(ok, pa.bool_()))
+            yield b.filter(pa.array([well_formed(x) for x in b["value"].to_pylist()], pa.bool_()))
 
     return values.mapInArrow(run, "value string")
 
@@ -267,9 +281,7 @@ def repaired(articles: DataFrame, fingerprints: DataFrame) -> DataFrame:
     """ingest_seq, field, value, state, restored, proven for all values not known to be sound."""
     spark = articles.sparkSession
     v = values(articles, fingerprints)
-    counts = pair_counts(v.filter("sound").select("value")).toArrow()
-    if not counts.num_rows:  # nothing is known to be sound: the values that hold no sequence a wrong decoding makes must do
-        counts = pair_counts(_well_formed(v.select("value"))).toArrow()
+    counts = pair_counts(_well_formed(v.select("value"))).toArrow()
     table = spark.sparkContext.broadcast(Scores(counts["slot"].to_numpy(), counts["n"].to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
