@@ -88,10 +88,33 @@ def test_leakage_against_truth(spark):
     assert leakage.find(d, spark.createDataFrame([], "item_id bigint, passage string")).count() == 0
 
 
-def test_aligned_over_an_added_word():
+def test_edited_over_an_added_word():
     p = np.arange(40)
-    doc = np.concatenate([[99], p[:20], [77], p[20:]])
-    assert leakage.aligned(doc, p) == 40
+    doc = np.concatenate([[99], p[:10], [77], p[10:20], [78]])
+    assert leakage.edited(doc, p, 20, 1) and not leakage.edited(doc, p, 25, 1)
+    assert leakage.edited(np.delete(p, [5, 15]), p, 20, 0) and not leakage.edited(p[::2], p, 20, 0)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_stretches_at_the_threshold(spark, edits):
+    rng = random.Random(edits)
+    items = [(i, " ".join(_words(rng, 60))) for i in range(40)]
+    docs = []
+    for k in range(200):
+        p = items[k % 40][1].split()
+        n = 20 + rng.randint(2, 4)
+        a = rng.randrange(60 - n + 1)
+        piece = p[a : a + n]
+        for q in rng.sample(range(1, n - 1), edits):
+            piece[q] = "changed"
+        docs.append((k, " ".join([*_words(rng, 20), *piece, *_words(rng, 20)])))
+    # Stretches that are too short or changed too much are none.
+    docs += [(1000 + k, " ".join([*_words(rng, 20), *items[k % 40][1].split()[5:21], *_words(rng, 20)])) for k in range(40)]
+    docs += [(2000 + k, " ".join(w if q % 3 else "other" for q, w in enumerate(items[k % 40][1].split()))) for k in range(40)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {tuple(r) for r in leakage.find(d, spark.createDataFrame(items, "item_id bigint, passage string")).collect()}
+    want = {(k, k % 40) for k in range(200)}
+    assert got <= want and len(got) >= 0.95 * len(want)
 
 
 def _scores(texts):
@@ -136,7 +159,10 @@ def test_garbled_values_of_tables(spark):
     rows = [(i, f"a{i}", t, None if i % 2 else "") for i, t in enumerate(SOUND)] + [(900, "x", "Für Köln".encode().decode("cp1252"), None), (901, None, None, None)]
     a = spark.createDataFrame(rows, "ingest_seq bigint, article_id string, headline string, summary string")
     p = spark.createDataFrame([], "article_id string, headline_hash string, summary_hash string")
+    lost = spark.createDataFrame([(902, "y", "K?ln wartet auf die Pr?fung", None), (903, "z", "F\ufffdr drei Tage", None)], a.schema)
+    a = a.union(lost)  # no hash is known; letters are lost in two values
     got = {r["ingest_seq"]: (r["state"], r["restored"]) for r in mojibake.repaired(a, p).collect()}
+    assert got[902][0] == got[903][0] == "damaged"
     assert got[900] == ("restored", "Für Köln") and all(s == "sound" for k, (s, _) in got.items() if k < 900)
     assert mojibake.repaired(a.limit(0), p).count() == 0
 

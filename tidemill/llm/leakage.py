@@ -8,14 +8,15 @@ windows start at every word, document windows at every ``STRIDE``-th, so a leake
 of a passage holds several of them. A window with more than ``EDITS`` words that no item has cannot
 lie within ``EDITS`` edits of one and is not hashed.
 
-Every candidate is verified exactly: along its diagonal, and over near diagonals by an edit
-alignment, the best stretch with +1 for an equal word and -4 for a replaced, lost or added one must
-take up a third of the passage's words. A pair's stretch that is free of edits over a window is found for
-certain; with two edits in a window the chance of one window is about 0.85, and of a stretch's several
-windows above 0.98.
+Every candidate is verified exactly: a third of the passage's words in a row must lie within an edit distance of one word in
+``EDIT_SHARE`` of a part of the document. Along a diagonal these are replaced words, counted in all windows of that size that
+begin and end with an equal word; over near diagonals, where words were lost or added, the edit distance is computed in a band.
+A pair's stretch that is free of edits over a window is found for certain; with two edits in a window the chance of
+one window is about 0.85, and of a stretch's several windows above 0.98.
 
-The items are the stated query set: they are handled in blocks of ``BLOCK`` items, whose hash table
-is the only thing broadcast (about 5 KB an item). Nothing of the corpus is collected.
+The items are the stated query set: their hash tables are made in blocks of ``BLOCK`` items and broadcast (about 5 KB an item); all
+blocks are searched in one pass over the corpus. Nothing of the corpus is collected. Windows have ``WINDOW`` words, and fewer
+for items whose third is shorter.
 
 Defined results: null and empty texts contain nothing; an item without a word leaks nowhere; items
 that share a passage are each reported; a passage that occurs twice in a document is one row.
@@ -27,23 +28,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.llm import tokens
+
 WINDOW, STRIDE, STEPS, BITS, REPEATS, EDITS = 16, 4, 32, 6, 8, 4
-BLOCK, SHARE, EDIT_COST, SEED = 4_000, 3, 4, 20
+#: Items of a block; the part of a passage that is a case; words of a stretch for every edit it may hold.
+BLOCK, SHARE, EDIT_SHARE, SEED = 4_000, 3, 8, 20
+
+
+def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts one after another, and how many each text has."""
+    flat = tokens.Flat(column, without=tokens.HIDDEN)
+    start, end = flat.runs(tokens.LETTER | tokens.MARK | tokens.DIGIT)
+    return flat.hashes(start, end), np.bincount(flat.row_of(start), minlength=flat.rows)
 
 
-def words(text: Column) -> Column:
-    clean = F.regexp_replace(F.lower(text), r"[\p{Cf}\p{Cc}&&[^\s]]+", "")
-    parts = F.filter(F.split(clean, r"[^\p{L}\p{N}\p{M}]+", -1), lambda x: x != "")
-    return F.transform(parts, lambda x: F.xxhash64(x))
+def allowed(need: int) -> int:
+    """Edits that a stretch of ``need`` words may hold."""
+    return (need + EDIT_SHARE // 2) // EDIT_SHARE
 
 
 class Family:
     """Items whose third is long enough for windows of ``w`` words, and their hash table."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], w: int, stride: int):
+    def __init__(self, items: list[tuple[int, np.ndarray]], w: int, stride: int) -> None:
         self.w, self.stride, self.steps = w, stride, 2 * w
         self.items, self.needs = items, np.array([-(-len(p) // SHARE) for _, p in items])
         self.vocabulary = np.unique(np.concatenate([p for _, p in items]))
@@ -110,63 +120,59 @@ class Family:
         return self._verified(pairs, code, start)
 
     def _verified(self, pairs: np.ndarray, code: np.ndarray, start: np.ndarray) -> list[tuple[int, int]]:
-        longest = np.zeros(len(pairs), int)
-        for lo in range(0, len(pairs), 20_000):
-            p = pairs[lo : lo + 20_000]
-            longest[lo : lo + 20_000] = self._stretch(p, code, start)
-        good = longest >= self.needs[pairs[:, 1]] if len(pairs) else np.zeros(0, bool)
+        good, most = np.zeros(len(pairs), bool), np.zeros(len(pairs), int)
+        for lo in range(0, len(pairs), 10_000):
+            good[lo : lo + 10_000], most[lo : lo + 10_000] = self._stretch(pairs[lo : lo + 10_000], code, start)
         out = {(int(r), int(i)) for r, i, _ in pairs[good]}
-        # Stretches on near diagonals may belong together if words were lost or added.
+        # Where words were lost or added, a stretch goes on along a near diagonal.
         part: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for (r, i, g), n in zip(pairs[longest >= self.w // 2], longest[longest >= self.w // 2]):
+        for (r, i, g), n in zip(pairs[most > 1], most[most > 1]):
             part.setdefault((int(r), int(i)), []).append((int(g), int(n)))
         for (r, i), spans in part.items():
+            need = int(self.needs[i])
             if (r, i) not in out and len(spans) > 1:
-                spans.sort()
-                total = max(sum(n for g, n in spans if abs(g - g0) <= EDITS) for g0, _ in spans)
-                if total >= self.needs[i] and aligned(code[start[r] : start[r + 1]], self.passages[i, : self.lengths[i]]) >= self.needs[i]:
+                tried = {g for g, _ in spans if sum(n for h, n in spans if abs(g - h) <= EDITS) >= need - allowed(need)}
+                doc, passage = code[start[r] : start[r + 1]], self.passages[i, : self.lengths[i]]
+                if any(edited(doc, passage, need, g) for g in sorted(tried)):
                     out.add((r, i))
         return [(r, self.items[i][0]) for r, i in out]
 
-    def _stretch(self, p: np.ndarray, code: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """The longest best stretch along each pair's diagonal, in passage words."""
+    def _stretch(self, p: np.ndarray, code: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a pair's diagonal holds a stretch of enough passage words that begins and ends with an equal word and has no
+        more than the allowed number of others; and the most equal words that so many in a row have."""
         row, item, diagonal = p[:, 0], p[:, 1], p[:, 2]
         low, high, length = start[row], start[row + 1], self.lengths[item]
-        score = np.zeros(len(p), int)
-        since, best, span = np.zeros(len(p), int), np.zeros(len(p), int), np.zeros(len(p), int)
-        for q in range(int(length.max()) if len(p) else 0):
-            at = low + diagonal + q
-            inside = (at >= low) & (at < high) & (q < length)
-            same = inside & (code[np.where(inside, at, 0)] == self.passages[item, q])
-            score = np.where(same, score + 1, score - EDIT_COST)
-            over = score <= 0
-            score[over] = 0
-            since = np.where(over, q + 1, since)
-            better = score > best
-            best = np.where(better, score, best)
-            span = np.where(better, q + 1 - since, span)
-        return span
-
-
-def aligned(doc: np.ndarray, passage: np.ndarray) -> int:
-    """Passage words in the best local alignment under edits."""
-    score = np.zeros(len(doc) + 1, int)
-    begin = np.zeros(len(doc) + 1, int)
-    best = span = 0
-    for q, word in enumerate(passage):
-        before, begun = score, begin
-        diagonal = before[:-1] + np.where(doc == word, 1, -EDIT_COST)
-        up = before[1:] - EDIT_COST
-        take = diagonal >= up
-        score = np.concatenate([[0], np.maximum(0, np.where(take, diagonal, up))])
-        begin = np.concatenate([[q + 1], np.where(take, np.where(before[:-1] > 0, begun[:-1], q), begun[1:])])
-        for k in np.nonzero(score[:-1] > EDIT_COST)[0]:
-            if score[k] - EDIT_COST > score[k + 1]:
-                score[k + 1], begin[k + 1] = score[k] - EDIT_COST, begin[k]
-        top = int(score.argmax())
-        if score[top] > best:
-            best, span = int(score[top]), q + 1 - int(begin[top])
-    return span
+        q = np.arange(int(length.max()) if len(p) else 0)
+        at = (low + diagonal)[:, None] + q
+        inside = (at >= low[:, None]) & (at < high[:, None]) & (q < length[:, None])
+        same = inside & (code[np.where(inside, at, 0)] == self.passages[item][:, : len(q)])
+        total = np.concatenate([np.zeros((len(p), 1), np.int32), np.cumsum(same, 1, dtype=np.int32)], 1)
+        good, most = np.zeros(len(p), bool), np.zeros(len(p), int)
+        for need in np.unique(self.needs[item]):
+            k, edits = np.nonzero(self.needs[item] == need)[0], allowed(int(need))
+            for size in range(need, min(need + edits, len(q)) + 1):
+                equal = total[k, size:] - total[k, : total.shape[1] - size]
+                most[k] = np.maximum(most[k], equal.max(1, initial=0)) if size == need else most[k]
+                good[k] |= ((equal >= size - edits) & same[k, : equal.shape[1]] & same[k, size - 1 :][:, : equal.shape[1]]).any(1)
+        return good, most
+
+
+def edited(doc: np.ndarray, passage: np.ndarray, need: int, diagonal: int) -> bool:
+    """Whether ``need`` passage words in a row lie within the allowed edit distance of a part of the document near a diagonal."""
+    limit = allowed(need)
+    for q in range(len(passage) - need + 1):
+        a = max(0, q + diagonal - EDITS)
+        part = doc[a : max(0, q + diagonal + need + EDITS)]
+        step = np.arange(len(part) + 1)
+        cost = np.zeros(len(part) + 1, int)
+        for word in passage[q : q + need]:
+            new = np.append(cost[0] + 1, np.minimum(cost[:-1] + (part != word), cost[1:] + 1))
+            cost = np.minimum.accumulate(new - step) + step  # added words of the document
+            if cost.min() > limit:
+                break
+        if cost.min() <= limit:
+            return True
+    return False
 
 
 def families(items: list[tuple[int, np.ndarray]]) -> list[Family]:
@@ -182,26 +188,25 @@ def families(items: list[tuple[int, np.ndarray]]) -> list[Family]:
 def find(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage") -> DataFrame:
     """``key``, ``item`` of every document that holds a third of an item's passage in one stretch."""
     spark = docs.sparkSession
-    rows = docs.filter(docs[text].isNotNull()).select(docs[key].alias("key"), words(docs[text]).alias("words"))
+    rows = docs.filter(docs[text].isNotNull()).select(docs[key].alias("key"), docs[text].alias("text"))
     kinds = f"`{key}` {docs.schema[key].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}"
-    coded = items.filter(items[passage].isNotNull()).select(items[item].alias("item"), words(items[passage]).alias("words"))
-    out = None
+    coded = items.filter(items[passage].isNotNull() & items[item].isNotNull()).select(items[item].alias("item"), items[passage].alias("text"))
+    tables = []
     for lo, hi in _blocks(coded):
-        block = coded.filter(F.col("item").between(lo, hi)).distinct().toArrow()
-        table = spark.sparkContext.broadcast(families([(i, np.array(w, np.int64)) for i, w in zip(block["item"].to_pylist(), block["words"].to_pylist())]))
-
-        def run(batches: Iterator[pa.RecordBatch], table=table) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for at in range(0, whole.num_rows, 2_000):
-                    b = whole.slice(at, 2_000)
-                    sizes = np.diff(b["words"].offsets.to_numpy())
-                    flat = b["words"].flatten().to_numpy(zero_copy_only=False)
-                    hits = [h for f in table.value for h in f.search(flat, sizes)]
-                    yield pa.RecordBatch.from_arrays([b["key"].take(pa.array([r for r, _ in hits], pa.int64())), pa.array([i for _, i in hits], pa.int64())], [key, item])
-
-        part = rows.mapInArrow(run, kinds)
-        out = part if out is None else out.union(part)
-    return (spark.createDataFrame([], kinds) if out is None else out).distinct()
+        block = coded.filter(F.col("item").between(lo, hi)).distinct().toArrow().combine_chunks()
+        flat, sizes = words(block["text"].combine_chunks() if block.num_rows else pa.array([], pa.string()))
+        each = np.split(flat, np.cumsum(sizes)[:-1])
+        tables.append(spark.sparkContext.broadcast(families(list(zip(block["item"].to_pylist(), each)))))
+    if not tables:
+        return spark.createDataFrame([], kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in tokens.pieces(batches, "text"):
+            flat, sizes = words(b["text"])
+            hits = [h for t in tables for f in t.value for h in f.search(flat, sizes)]
+            yield pa.RecordBatch.from_arrays([b["key"].take(pa.array([r for r, _ in hits], pa.int64())), pa.array([i for _, i in hits], pa.int64())], [key, item])
+
+    return rows.mapInArrow(run, kinds).distinct()
 
 
 def _blocks(coded: DataFrame) -> list[tuple[int, int]]:

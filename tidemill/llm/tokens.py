@@ -62,9 +62,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Flat:
-    """The texts of a column as one array of code points; text k reaches from ``bounds[k]`` to ``bounds[k + 1]``."""
+    """The texts of a column as one array of code points, those of the classes ``without`` left out; text k reaches from ``bounds[k]`` to ``bounds[k + 1]``."""
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, without: int = 0):
         column = pc.utf8_lower(pc.fill_null(column.cast(pa.string()), ""))
         self.rows, self._column = len(column), column
         self.bounds = np.append(0, np.cumsum(pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -73,6 +73,11 @@ class Flat:
         raw = memoryview(data)[int(offsets[0]) : int(offsets[-1])] if data is not None else b""
         self.points = np.frombuffer(str(raw, "utf-8").encode("utf-32-le", "surrogatepass"), np.uint32)
         self.classes = classes()[self.points]
+        if without:
+            keep = (self.classes & without) == 0
+            if not keep.all():
+                self.bounds = np.append(0, np.cumsum(keep))[self.bounds]
+                self.points, self.classes = self.points[keep], self.classes[keep]
 
     def texts(self) -> list[str]:
         """The texts in lower case."""
