@@ -23,6 +23,25 @@ def test_feeds(spark):
     assert all(by[k][0]["error"] for k in "cde") and "f" not in by
 
 
+@pytest.mark.parametrize("pad", ["", " "])
+def test_one_byte_feeds_of_even_and_odd_length(pad):
+    raw = f"<rss><channel><item><title>Caf\u00e9 \u2013 {pad}</title></item></channel></rss>"
+    declared = f'<?xml version="1.0" encoding="windows-1252"?>{raw}'.encode("cp1252")
+    assert feeds.parse(declared)[0]["headline"] == "Caf\u00e9 \u2013"
+    assert feeds.parse(raw.replace("\u2013", "-").encode("latin-1"))[0]["headline"] == "Caf\u00e9 -"
+    assert feeds.decode(b"plain \xff") == "plain \xff".encode("latin-1").decode("utf-8", "replace")
+
+
+@pytest.mark.parametrize("failing", [1, 2])
+def test_a_failing_rename_loses_nothing(spark, tmp_path, monkeypatch, failing):
+    path, calls, rename = str(tmp_path / "snap"), [], documents._rename
+    documents.swap_snapshot(spark.range(3), path)
+    monkeypatch.setattr(documents, "_rename", lambda *x: False if calls.append(x) or len(calls) == failing else rename(*x))
+    with pytest.raises(OSError):
+        documents.swap_snapshot(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 3 and sorted(os.listdir(tmp_path)) == ["snap"]
+
+
 def test_pages(spark):
     html = '<h2 class="x"><a href="/news/1#c">A headline long enough</a></h2><a href="/news/2">Not in a headline at all</a><h3><a href="https://o.example/news/3">Another host is left out</a></h3><h3><a href="/about/4">Path does not fit here</a></h3><h3><a href="/news/1">A headline long enough</a></h3>'
     df = spark.createDataFrame([("s", "https://h.example/", html), ("t", None, None)], "source_id string, url string, html string")

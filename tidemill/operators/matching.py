@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
+from tidemill.session import Scratch
 
 
 def token_pairs(df: DataFrame, key: str, tokens: str, least: int = 1) -> DataFrame:
@@ -32,9 +33,19 @@ def title_pairs(df: DataFrame, key: str, title: str) -> DataFrame:
     return token_pairs(t, key, "tokens", 3).filter("shared >= 4 or smaller <= 4").select("a", "b", "shared")
 
 
-def keywords(df: DataFrame, key: str, *texts: str, most: int = 12) -> DataFrame:
-    """key, keyword, n, rank: a group's most frequent keywords, ties by where they come first."""
-    tokens = df.select(key, F.posexplode(text.keyword_tokens(F.concat_ws(" ", *texts))).alias("pos", "keyword"))
-    counted = tokens.groupBy(key, "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("pos"))
-    listed = counted.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "pos", "keyword"))), 1, most).alias("k"))
-    return listed.select(key, F.posexplode("k").alias("i", "k")).select(key, F.col("k.keyword").alias("keyword"), (-F.col("k.m")).alias("n"), (F.col("i") + 1).alias("rank"))
+def disjoint_round(pairs: DataFrame, a: str, b: str, rank: str) -> DataFrame:
+    """The pairs that one greedy pass in order of ``rank`` (unique) takes: each whose ends no earlier taken pair has.
+
+    A pair that comes first at both its ends is taken whatever the others are; all such pairs are taken at once,
+    pairs that touch them go, and the rest is looked at again. Every step is an aggregation and two equi joins.
+    """
+    scratch = Scratch(pairs.sparkSession, "round")
+    left, taken = scratch.keep(pairs.filter(F.col(a) != F.col(b))), None
+    while not left.isEmpty():
+        ends = left.select(F.col(a).alias("v"), rank).union(left.select(F.col(b).alias("v"), rank)).groupBy("v").agg(F.min(rank).alias("top"))
+        first = scratch.keep(left.join(ends.select(F.col("v").alias(a), F.col("top").alias("__x")), a).join(ends.select(F.col("v").alias(b), F.col("top").alias("__y")), b).filter(f"__x = {rank} and __y = {rank}").select(*left.columns))
+        used = first.select(F.col(a).alias("v")).union(first.select(F.col(b).alias("v")))
+        following = scratch.keep(left.join(used, left[a] == used["v"], "left_anti").join(used, left[b] == used["v"], "left_anti"))
+        scratch.drop(left)
+        left, taken = following, first if taken is None else taken.union(first)
+    return pairs.limit(0) if taken is None else taken

@@ -51,10 +51,10 @@ def i_slugs(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT ingest_seq,
   CASE WHEN length(summary) <= 80 THEN summary ELSE rtrim(regexp_replace(substring(summary, 1, 80), ' [^ ]*$', '')) END AS bounded,
   CASE WHEN length(headline) <= 60 THEN headline ELSE substring(headline, 1, 57) || '...' END AS label,
-  CASE WHEN length(summary) <= 100 THEN summary ELSE (CASE WHEN length(regexp_replace(substring(summary, 1, 100), ' [^ ]*$', '')) > 50 THEN regexp_replace(substring(summary, 1, 100), ' [^ ]*$', '') ELSE substring(summary, 1, 100) END) || '…' END AS teaser
+  CASE WHEN length(summary) <= 300 THEN summary ELSE (CASE WHEN length(regexp_replace(substring(summary, 1, 300), ' [^ ]*$', '')) > 150 THEN regexp_replace(substring(summary, 1, 300), ' [^ ]*$', '') ELSE substring(summary, 1, 300) END) || '…' END AS teaser
 FROM articles""")
 def i_labels(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "articles").select("ingest_seq", text.bounded(F.col("summary"), 80).alias("bounded"), text.short_label(F.col("headline"), 60).alias("label"), text.summary_fallback(F.col("summary"), 100).alias("teaser"))
+    return table(spark, d, "articles").select("ingest_seq", text.bounded(F.col("summary"), 80).alias("bounded"), text.short_label(F.col("headline"), 60).alias("label"), text.summary_fallback(F.col("summary"), 300).alias("teaser"))
 
 
 @query("""SELECT ingest_seq, CASE WHEN regexp_replace(regexp_replace(guid, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') = '' THEN 'unknown' ELSE regexp_replace(regexp_replace(guid, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g') END AS safe,
@@ -163,14 +163,30 @@ def b_delete_cascade(spark: SparkSession, d: str) -> DataFrame:
     return children["prints"].select("article_id", "content_hash")
 
 
-@query("""WITH p AS (SELECT greatest(event_a, event_b) AS loser, least(event_a, event_b) AS winner FROM deduplication_reviews WHERE should_merge = 1 AND event_a <> event_b), m AS (SELECT loser, min(winner) AS winner FROM p GROUP BY 1)
-SELECT article_id, coalesce(winner, event_id) AS event_id FROM article_digests LEFT JOIN m ON event_id = loser""")
-def b_merge_losers(spark: SparkSession, d: str) -> DataFrame:
+_LOSERS = """link AS (SELECT greatest(event_a, event_b) AS loser, min(least(event_a, event_b)) AS winner FROM deduplication_reviews WHERE should_merge = 1 AND event_a <> event_b GROUP BY 1),
+walk AS (SELECT loser, winner FROM link UNION ALL SELECT w.loser, l.winner FROM walk w JOIN link l ON w.winner = l.loser), m AS (SELECT loser, min(winner) AS winner FROM walk GROUP BY 1)"""
+
+
+def merge_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Every event that lost a merge with the winner at the end of its chain."""
     r = table(spark, d, "deduplication_reviews").filter("should_merge = 1 and event_a != event_b")
     m = r.groupBy(F.greatest("event_a", "event_b").alias("loser")).agg(F.min(F.least("event_a", "event_b")).alias("winner"))
+    return mutations.follow_chains(m, "loser", "winner")
+
+
+@query(f"WITH RECURSIVE {_LOSERS} SELECT article_id, coalesce(winner, event_id) AS event_id FROM article_digests LEFT JOIN m ON event_id = loser")
+def b_merge_losers(spark: SparkSession, d: str) -> DataFrame:
+    m = merge_chains(spark, d)
     return mutations.repoint(table(spark, d, "article_digests").select("article_id", "event_id"), "event_id", m, "loser", "winner").select("article_id", "event_id")
 
 
+@query(f"WITH RECURSIVE {_LOSERS} SELECT event_id, count(*) AS members FROM article_digests WHERE event_id IS NOT NULL AND event_id NOT IN (SELECT loser FROM m) GROUP BY 1")
+def b_events_left(spark: SparkSession, d: str) -> DataFrame:
+    """The events that are left when the losers are deleted."""
+    e = table(spark, d, "article_digests").filter("event_id is not null").groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))
+    return e.join(merge_chains(spark, d), F.col("event_id") == F.col("loser"), "left_anti")
+
+
 # --- joins
 
 
@@ -197,13 +213,13 @@ def d_identity_match(spark: SparkSession, d: str) -> DataFrame:
     return k.join(m, "key").groupBy("article_id").agg(F.min("s").alias("first_seq"), F.min("ingest_seq").alias("own")).filter("first_seq < own").select("article_id", "first_seq")
 
 
-@query(f"""WITH {_FIRST} SELECT f.event_id, list(headline ORDER BY ingest_seq) AS headlines, list(CASE WHEN length(s) > 120 THEN substring(s, 1, 120) || '...' ELSE s END ORDER BY ingest_seq) AS summaries
+@query(f"""WITH {_FIRST} SELECT f.event_id, list(headline ORDER BY ingest_seq) AS headlines, list(CASE WHEN length(s) > 300 THEN substring(s, 1, 300) || '...' ELSE s END ORDER BY ingest_seq) AS summaries
 FROM (SELECT f.*, coalesce(g.digest_summary, f.summary, '') AS s FROM first f LEFT JOIN article_digests g USING (article_id)) f WHERE f.event_id IS NOT NULL GROUP BY f.event_id""")
 def d_event_members(spark: SparkSession, d: str) -> DataFrame:
     a = first_articles(spark, d, "event_id", "headline", "summary").filter("event_id is not null")
     g = table(spark, d, "article_digests").select("article_id", "digest_summary")
     s = F.coalesce("digest_summary", "summary", F.lit(""))
-    rows = a.join(g, "article_id", "left").withColumn("s", F.when(F.length(s) > 120, F.concat(F.substring(s, 1, 120), F.lit("..."))).otherwise(s))
+    rows = a.join(g, "article_id", "left").withColumn("s", F.when(F.length(s) > 300, F.concat(F.substring(s, 1, 300), F.lit("..."))).otherwise(s))
     listed = rows.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("ingest_seq", "headline", "s"))).alias("m"))
     return listed.select("event_id", F.col("m.headline").alias("headlines"), F.col("m.s").alias("summaries"))
 
@@ -217,10 +233,15 @@ def d_publisher_lookup(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("source_id", "publisher", "category").agg(F.sum("n").alias("articles"))
 
 
-@query("SELECT source_id FROM feeds WHERE enabled = 1 AND source_id NOT IN (SELECT source_id FROM articles WHERE source_id IS NOT NULL) UNION ALL SELECT DISTINCT 'extra:' || source_id FROM articles WHERE source_id IS NOT NULL AND source_id NOT IN (SELECT source_id FROM feeds)")
+@query("""WITH r AS (SELECT max(collection_run_id) AS run FROM articles), a AS (SELECT DISTINCT source_id FROM articles, r WHERE collection_run_id = run AND source_id IS NOT NULL), f AS (SELECT source_id FROM feeds WHERE enabled = 1)
+SELECT source_id, 'silent' AS side FROM f WHERE source_id NOT IN (SELECT source_id FROM a) UNION ALL SELECT source_id, 'not enabled' FROM a WHERE source_id NOT IN (SELECT source_id FROM f)""")
 def h_symmetric_difference(spark: SparkSession, d: str) -> DataFrame:
-    f, a = table(spark, d, "feeds"), table(spark, d, "articles").filter("source_id is not null").select("source_id").distinct()
-    return f.filter("enabled = 1").select("source_id").join(a, "source_id", "left_anti").union(a.join(f, "source_id", "left_anti").select(F.concat(F.lit("extra:"), "source_id").alias("source_id")))
+    """Enabled feeds against the sources of the last run."""
+    a = table(spark, d, "articles")
+    last = a.agg(F.max("collection_run_id").alias("run")).first()["run"]
+    seen = a.filter((F.col("collection_run_id") == last) & F.col("source_id").isNotNull()).select("source_id").distinct()
+    f = table(spark, d, "feeds").filter("enabled = 1").select("source_id")
+    return f.join(seen, "source_id", "left_anti").withColumn("side", F.lit("silent")).union(seen.join(f, "source_id", "left_anti").withColumn("side", F.lit("not enabled")))
 
 
 @query("""SELECT t.article_id, count(*) AS facts, sum(CASE WHEN contains(trim(regexp_replace(content_text, '\\s+', ' ', 'g')), trim(regexp_replace(fact, '\\s+', ' ', 'g'))) THEN 1 ELSE 0 END)::BIGINT AS supported
@@ -247,15 +268,6 @@ def e_keywords_top12(spark: SparkSession, d: str) -> DataFrame:
     return grouping.top_per_group(counted, "event_id", [F.desc("n"), F.col("p"), F.col("keyword")], 12, "rank").select("event_id", "keyword", "n", "rank")
 
 
-@query(f"WITH {_KEYWORDS}, e AS (SELECT count(DISTINCT event_id) AS m FROM tok) SELECT keyword, count(DISTINCT event_id) AS events FROM cnt, e GROUP BY keyword, m HAVING m >= 8 AND count(DISTINCT event_id) >= greatest(4, floor(0.02 * m))")
-def e_dynamic_stopwords(spark: SparkSession, d: str) -> DataFrame:
-    """Keywords that so many events share that they tell nothing apart; with fewer than 8 events there are none."""
-    a = first_articles(spark, d, "event_id", "headline", "summary").filter("event_id is not null").select("event_id", "headline", "summary")
-    n = a.select("event_id").distinct().count()
-    words = a.select("event_id", F.explode(F.array_distinct(text.keyword_tokens(F.concat_ws(" ", "headline", "summary")))).alias("keyword")).distinct()
-    return words.groupBy("keyword").agg(F.count(F.lit(1)).alias("events")).filter(F.lit(n >= 8) & (F.col("events") >= max(4, n // 50)))
-
-
 _TITLES = f"""{_FIRST}, ev AS (SELECT event_id, arg_min(headline, (length(headline) < 20, length(headline), ingest_seq)) AS title FROM first WHERE event_id IS NOT NULL AND headline IS NOT NULL GROUP BY 1),
 tok AS (SELECT event_id, list_distinct(list_filter(regexp_extract_all(lower(title), '[a-z0-9]+'), lambda w: w NOT IN ({_STOP}))) AS ws FROM ev), one AS (SELECT event_id, unnest(ws) AS w, len(ws) AS n FROM tok)"""
 
@@ -275,14 +287,14 @@ def d_title_pairs(spark: SparkSession, d: str) -> DataFrame:
     return matching.title_pairs(event_titles(spark, d), "event_id", "title")
 
 
-_SLUG = "regexp_replace(regexp_replace(event_id, '^\\d{4}-\\d{2}-\\d{2}-', ''), '-\\d+$', '')"
+_SLUG = f"CASE WHEN len({_WORDS.format('title')}) = 0 THEN 'story' ELSE array_to_string(({_WORDS.format('title')})[1:3], '-') END"
 
 
-@query(f"WITH e AS (SELECT DISTINCT event_id, {_SLUG} AS slug FROM article_digests WHERE event_id IS NOT NULL) SELECT slug, count(*) AS events, min(event_id) AS first_event FROM e GROUP BY slug HAVING count(*) > 1")
+@query(f"WITH {_TITLES}, e AS (SELECT event_id, {_SLUG} AS slug FROM ev) SELECT slug, count(*) AS events, min(event_id) AS first_event FROM e GROUP BY slug HAVING count(*) > 1")
 def d_slug_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Events of one name: classes with their first member instead of all pairs."""
-    e = table(spark, d, "article_digests").filter("event_id is not null").select("event_id").distinct()
-    return e.groupBy(text.base_slug(F.col("event_id")).alias("slug")).agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")).filter("events > 1")
+    """Events whose titles begin with the same three words of a slug: classes with their first member instead of all pairs."""
+    e = event_titles(spark, d).select("event_id", F.substring_index(text.slug(F.col("title")), "-", 3).alias("slug"))
+    return e.groupBy("slug").agg(F.count(F.lit(1)).alias("events"), F.min("event_id").alias("first_event")).filter("events > 1")
 
 
 @query(f"""WITH {_TITLES}, t AS (SELECT x.event_id AS a, y.event_id AS b, 4 AS priority FROM one x JOIN one y ON x.w = y.w AND x.event_id < y.event_id GROUP BY x.event_id, y.event_id, x.n, y.n HAVING count(*) >= 4 OR (count(*) >= 3 AND least(x.n, y.n) <= 4)),
@@ -342,10 +354,16 @@ def e_run_source_stats(spark: SparkSession, d: str) -> DataFrame:
     return a.agg(F.count(F.lit(1)).alias("seen"), F.countDistinct("article_id").alias("articles"), F.sum((F.col("digest_status") == "failed").cast("bigint")).alias("failed"), F.sum(F.col("publish_date_estimated").cast("bigint")).alias("estimated"))
 
 
-@query("""SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(sum(coalesce(value, 0)), 4) AS total, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END)::BIGINT AS large, max(ts) AS last_at FROM events GROUP BY 1""")
+@query("""WITH m AS (SELECT max(CAST(replace(replace(reviewed_at, 'T', ' '), 'Z', '') AS TIMESTAMP)) - INTERVAL 2160 HOUR AS since FROM deduplication_reviews),
+u AS (SELECT 'deduplication' AS stage, model, prompt_version, should_merge, confidence, substring(reviewed_at, 1, 10) AS day FROM deduplication_reviews, m WHERE CAST(replace(replace(reviewed_at, 'T', ' '), 'Z', '') AS TIMESTAMP) >= since)
+SELECT stage, model, prompt_version, count(*) AS calls, count(*) - count(should_merge) AS failed, coalesce(sum(should_merge), 0)::BIGINT AS positive, round(sum(coalesce(confidence, 0)), 3) AS confidence, count(DISTINCT day) AS days FROM u GROUP BY GROUPING SETS ((stage, model, prompt_version), ())""")
 def e_usage_report(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").groupBy("event_type")
-    return e.agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("user_id").alias("users"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("total"), F.sum(F.coalesce(F.col("value") > 50, F.lit(False)).cast("bigint")).alias("large"), F.max("ts").alias("last_at"))
+    """Calls by stage, model and prompt version in the last 2,160 hours before the latest one, and their totals (nulls)."""
+    r = table(spark, d, "deduplication_reviews").withColumn("at", times.instant(F.col("reviewed_at")))
+    last = r.agg(F.max("at").alias("at")).first()["at"]
+    u = r.filter(F.col("at") >= F.lit(last) - F.expr("INTERVAL 2160 HOURS")).select(F.lit("deduplication").alias("stage"), "model", "prompt_version", "should_merge", "confidence", F.substring("reviewed_at", 1, 10).alias("day"))
+    sums = F.count(F.lit(1)).alias("calls"), F.sum(F.col("should_merge").isNull().cast("bigint")).alias("failed"), F.coalesce(F.sum(F.col("should_merge").cast("bigint")), F.lit(0)).alias("positive"), F.round(F.sum(F.coalesce("confidence", F.lit(0.0))), 3).alias("confidence"), F.countDistinct("day").alias("days")
+    return u.groupingSets([["stage", "model", "prompt_version"], []], "stage", "model", "prompt_version").agg(*sums)
 
 
 @query("SELECT stage, run_id, status, started_at, coalesce(TRY_CAST(json_extract_string(stats_json, '$.articles_seen') AS BIGINT), 0) AS seen FROM pipeline_runs QUALIFY row_number() OVER (PARTITION BY stage ORDER BY started_at DESC, run_id DESC) = 1")

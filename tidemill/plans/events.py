@@ -18,31 +18,70 @@ def top_keywords(spark: SparkSession, d: str) -> DataFrame:
     return base.QUERIES["e_keywords_top12"](spark, d)
 
 
-@query(f"WITH {_TOP} SELECT x.event_id AS a, y.event_id AS b, CAST(count(*) AS INTEGER) AS shared FROM top x JOIN top y ON x.keyword = y.keyword AND x.event_id < y.event_id GROUP BY ALL HAVING count(*) >= 4")
-def d_keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
-    """Events that share four of their keywords."""
-    k = top_keywords(spark, d).groupBy("event_id").agg(F.collect_set("keyword").alias("k"))
-    return matching.token_pairs(k, "event_id", "k", 4).select("a", "b", "shared")
+# The share of a category's events from which a keyword tells nothing apart, with the least number of events that
+# must have it and that there must be; the keywords of an event that are compared; those that two events must share.
+HOT_SHARE, HOT_LEAST, HOT_EVENTS, KEYWORDS, OVERLAP = 0.2, 4, 8, 6, 2
+
+_CATEGORY = f"""{_TOP}, cc AS (SELECT event_id, f.default_category AS category, count(*) AS n, min(ingest_seq) AS s FROM first a JOIN feeds f USING (source_id) WHERE event_id IS NOT NULL AND f.default_category IS NOT NULL GROUP BY ALL),
+cat AS (SELECT event_id, category FROM cc QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, s) = 1),
+evc AS (SELECT t.event_id, coalesce(category, 'none') AS category FROM (SELECT DISTINCT event_id FROM top) t LEFT JOIN cat USING (event_id)), m AS (SELECT category, count(*) AS m FROM evc GROUP BY 1),
+hot AS (SELECT category, keyword, count(*) AS events FROM top JOIN evc USING (event_id) JOIN m USING (category) GROUP BY category, keyword, m HAVING m >= {HOT_EVENTS} AND count(*) >= greatest({HOT_LEAST}, floor(CAST({HOT_SHARE} AS DOUBLE) * m))),
+six AS (SELECT event_id, category, keyword, rank FROM top JOIN evc USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM hot h WHERE h.category = evc.category AND h.keyword = top.keyword) QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY rank) <= {KEYWORDS})"""
+
+
+def categorised_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, category (that of most of its articles), keyword, rank."""
+    top = top_keywords(spark, d).select("event_id", "keyword", "rank")
+    own = base.QUERIES["e_majority_category"](spark, d).select("event_id", "category")
+    return top.join(own, "event_id", "left").withColumn("category", F.coalesce("category", F.lit("none")))
+
+
+def hot_keywords(top: DataFrame) -> DataFrame:
+    """category, keyword, events: keywords that so many events of a category share that they tell nothing apart."""
+    n = top.groupBy("category").agg(F.countDistinct("event_id").alias("m"))
+    shared = top.groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("events")).join(n, "category")
+    return shared.filter((F.col("m") >= HOT_EVENTS) & (F.col("events") >= F.greatest(F.lit(HOT_LEAST), F.floor(HOT_SHARE * F.col("m"))))).select("category", "keyword", "events")
+
+
+def filtered_keywords(spark: SparkSession, d: str) -> DataFrame:
+    """event_id, category, keyword, rank of an event's first keywords that aren't hot in its category."""
+    top = categorised_keywords(spark, d)
+    kept = top.join(hot_keywords(top).select("category", "keyword"), ["category", "keyword"], "left_anti")
+    return grouping.top_per_group(kept, "event_id", [F.col("rank")], KEYWORDS, "place").select("event_id", "category", "keyword", "rank")
 
 
-@query(f"WITH {_TOP}, e AS (SELECT count(DISTINCT event_id) AS m FROM top), hot AS (SELECT keyword FROM top, e GROUP BY keyword, m HAVING m >= 8 AND count(*) >= greatest(4, floor(0.02 * m))) SELECT event_id, list(keyword ORDER BY rank)[1:6] AS keywords FROM top WHERE keyword NOT IN (SELECT keyword FROM hot) GROUP BY event_id")
+@query(f"WITH {_CATEGORY} SELECT category, keyword, events FROM hot")
+def e_dynamic_stopwords(spark: SparkSession, d: str) -> DataFrame:
+    return hot_keywords(categorised_keywords(spark, d))
+
+
+@query(f"WITH {_CATEGORY} SELECT event_id, list(keyword ORDER BY rank) AS keywords FROM six GROUP BY event_id")
 def e_filtered_keywords(spark: SparkSession, d: str) -> DataFrame:
-    """Of an event's keywords the first six that few other events have."""
-    top = top_keywords(spark, d)
-    n = top.select("event_id").distinct().count()
-    hot = top.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).filter(F.lit(n >= 8) & (F.col("n") >= max(4, n // 50)))
-    kept = top.join(hot.select("keyword"), "keyword", "left_anti").groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
-    return kept.select("event_id", F.slice("k.keyword", 1, 6).alias("keywords"))
+    kept = filtered_keywords(spark, d).groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("k"))
+    return kept.select("event_id", F.col("k.keyword").alias("keywords"))
 
 
-@query()
+@query(f"WITH {_CATEGORY} SELECT x.event_id AS a, y.event_id AS b, CAST(count(*) AS INTEGER) AS shared FROM six x JOIN six y ON x.keyword = y.keyword AND x.category = y.category AND x.event_id < y.event_id GROUP BY ALL HAVING count(*) >= {OVERLAP}")
+def d_keyword_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a category that share two of their six keywords; a keyword that is hot there is none of them, so no group is large."""
+    k = filtered_keywords(spark, d).groupBy("event_id").agg(F.collect_set(F.concat_ws(" ", "category", "keyword")).alias("k"))
+    return matching.token_pairs(k, "event_id", "k", OVERLAP).select("a", "b", "shared")
+
+
+_LIST = lambda words: ", ".join(f"'{w}'" for w in words)
+_COHESION = f"""{base._TITLES}, raw AS (SELECT event_id, unnest(regexp_extract_all(regexp_replace(title, '(?i)^\\s*(?:(?:{cohesion.LABELS.replace(chr(92), chr(92) * 2)})\\s*(?::|--|-|\\.)?\\s*)+', ''), '[A-Za-z0-9]+')) AS r FROM ev),
+word AS (SELECT event_id, lower(r) AS w, bool_or(regexp_matches(r, '^[A-Z]|[0-9]') AND lower(r) NOT IN ({_LIST(cohesion.GENERIC)})) AS anchor FROM raw
+  WHERE lower(r) NOT IN ({_LIST(text.STOPWORDS)}, {_LIST(cohesion.FORMAT_WORDS)}) AND (length(r) >= 3 OR (length(r) >= 2 AND regexp_matches(r, '^[A-Z]+$|[0-9]'))) GROUP BY ALL),
+pair AS (SELECT x.event_id AS a, y.event_id AS b, count(*) AS n, count(*) FILTER (WHERE x.w NOT IN ({_LIST(cohesion.GENERIC)})) AS special, count(*) FILTER (WHERE x.anchor AND y.anchor) AS anchors FROM word x JOIN word y ON x.w = y.w AND x.event_id < y.event_id GROUP BY ALL HAVING count(*) >= 2)"""
+
+
+@query(f"WITH {_COHESION}, s AS (SELECT a, b, CASE WHEN special = 0 THEN 0 WHEN n >= 3 THEN 2 WHEN anchors >= 2 OR (anchors = 1 AND special = 2) THEN 1 ELSE 0 END AS strength FROM pair) SELECT a, b, strength FROM s WHERE strength > 0".replace("\\\\", "\\"))
 def d_cohesion(spark: SparkSession, d: str) -> DataFrame:
-    """The strength with which the titles of matched event pairs hold together."""
-    t = base.event_titles(spark, d)
-    w = t.select("event_id", cohesion.words(F.col("title")).alias("w"))
-    pairs = base.QUERIES["d_title_pairs"](spark, d).select("a", "b")
+    """Event pairs whose titles hold together, with the strength; candidates share two words of their titles."""
+    w = base.event_titles(spark, d).select("event_id", cohesion.words(F.col("title")).alias("w"))
+    pairs = matching.token_pairs(w.select("event_id", F.transform("w", lambda x: x["w"]).alias("t")), "event_id", "t", 2).select("a", "b")
     x, y = w.select(F.col("event_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("event_id").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", cohesion.strength(F.col("wa"), F.col("wb")).alias("strength"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", cohesion.strength(F.col("wa"), F.col("wb")).alias("strength")).filter("strength > 0")
 
 
 @query(f"""WITH {base._FIRST}, p AS (SELECT coalesce(f.default_category, 'none') AS category, a.event_id, split_part(a.source_name, ' - ', 1) AS publisher FROM first a JOIN feeds f USING (source_id) WHERE event_id IS NOT NULL),
@@ -57,13 +96,14 @@ def e_coverage_ratio(spark: SparkSession, d: str) -> DataFrame:
     return e.join(pool, "category").select("event_id", "category", "publishers", "pool", F.round(F.least(F.lit(1.0), F.col("publishers") / F.col("pool")), 4).alias("ratio"))
 
 
-@query("""WITH a AS (SELECT article_id, count(*) AS n FROM article_digests GROUP BY 1), b AS (SELECT DISTINCT article_id FROM articles WHERE article_id IS NOT NULL)
-SELECT coalesce(a.article_id, b.article_id) AS article_id, CASE WHEN a.article_id IS NULL THEN 'missing' WHEN b.article_id IS NULL THEN 'unknown' ELSE 'repeated' END AS problem FROM a FULL JOIN b USING (article_id) WHERE a.article_id IS NULL OR b.article_id IS NULL OR a.n > 1""")
+@query("""WITH a AS (SELECT event_id, count(*) AS n FROM (SELECT event_a AS event_id FROM deduplication_reviews WHERE event_a <> event_b UNION ALL SELECT event_b FROM deduplication_reviews WHERE event_a <> event_b) GROUP BY 1), b AS (SELECT DISTINCT event_id FROM article_digests WHERE event_id IS NOT NULL)
+SELECT coalesce(a.event_id, b.event_id) AS event_id, CASE WHEN a.event_id IS NULL THEN 'missing' WHEN b.event_id IS NULL THEN 'unknown' ELSE 'repeated' END AS problem FROM a FULL JOIN b USING (event_id) WHERE a.event_id IS NULL OR b.event_id IS NULL OR a.n > 1""")
 def h_cover_check(spark: SparkSession, d: str) -> DataFrame:
-    """Articles that the digests don't cover exactly once."""
-    a = table(spark, d, "article_digests").groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
-    b = table(spark, d, "articles").filter("article_id is not null").select("article_id", F.lit(1).alias("known")).distinct()
-    return a.join(b, "article_id", "full_outer").filter("n is null or known is null or n > 1").select("article_id", F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").otherwise("repeated").alias("problem"))
+    """Events that the reviews don't cover exactly once, and reviewed ones that no article carries."""
+    r = table(spark, d, "deduplication_reviews").filter("event_a != event_b")
+    a = r.select(F.explode(F.array("event_a", "event_b")).alias("event_id")).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    b = table(spark, d, "article_digests").filter("event_id is not null").select("event_id", F.lit(1).alias("known")).distinct()
+    return a.join(b, "event_id", "full_outer").filter("n is null or known is null or n > 1").select("event_id", F.when(F.col("n").isNull(), "missing").when(F.col("known").isNull(), "unknown").otherwise("repeated").alias("problem"))
 
 
 @query("""WITH e AS (SELECT DISTINCT event_id FROM article_digests WHERE event_id IS NOT NULL), h AS (SELECT event_id, sha256(event_id) AS s FROM e), d AS (SELECT event_id, substring(s, 1, k) AS prefix, k FROM h, range(0, 9) t(k)), c AS (SELECT prefix, k FROM d GROUP BY ALL HAVING count(*) <= 34)

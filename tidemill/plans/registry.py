@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.operators import timestamps
-from tidemill.plans import articles, events, streams  # noqa: F401 - events adds its queries to those of articles
+from tidemill.plans import articles, events, lifecycle, streams  # noqa: F401 - events and lifecycle add their queries to those of articles
 from tidemill.session import table
 
 

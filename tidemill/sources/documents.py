@@ -26,14 +26,29 @@ def public_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*sorted(c for c in df.columns if not c.startswith("_")))).alias("json"))
 
 
+def _rename(fs, old, new) -> bool:
+    return bool(fs.rename(old, new))
+
+
 def swap_snapshot(df: DataFrame, path: str) -> None:
-    """Writes beside the old snapshot, then puts the new one in its place by renaming; readers never see half of it."""
+    """Writes beside the old snapshot, then puts the new one in its place by renaming.
+
+    The old snapshot is deleted only when the new one stands in its place; if that fails the old one is put back and
+    the call raises. Between the two renames, for a moment, there is no table under ``path``; there is never half of one.
+    """
     spark = df.sparkSession
-    new, old = f"{path}.new-{uuid.uuid4().hex[:8]}", f"{path}.old-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(new)
     jvm = spark._jvm.org.apache.hadoop.fs
-    fs = jvm.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(jvm.Path(path)):
-        fs.rename(jvm.Path(path), jvm.Path(old))
-    fs.rename(jvm.Path(new), jvm.Path(path))
-    fs.delete(jvm.Path(old), True)
+    here, new, old = (jvm.Path(f"{path}{end}") for end in ("", f".new-{uuid.uuid4().hex[:8]}", f".old-{uuid.uuid4().hex[:8]}"))
+    df.write.parquet(new.toString())
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    kept = fs.exists(here)
+    if kept and not _rename(fs, here, old):
+        fs.delete(new, True)
+        raise OSError(f"{path} can't be moved; it is as it was")
+    if not _rename(fs, new, here):
+        if kept and not _rename(fs, old, here):
+            raise OSError(f"the snapshot can't be put in place; the former one is {old.toString()}")
+        fs.delete(new, True)
+        raise OSError(f"the snapshot can't be put in place; {path} is as it was")
+    if kept:
+        fs.delete(old, True)

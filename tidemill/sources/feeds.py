@@ -1,6 +1,6 @@
 """Feed documents to entries: RSS 2.0 and Atom bytes, decoded, checked and parsed in batches.
 
-Defined results: null, empty or undecodable bytes, documents with a DTD or entity declarations, and
+Defined results: null and empty bytes, bytes that are no markup, documents with a DTD or entity declarations, and
 malformed XML give no entries but one row with ``error``; a feed without entries gives no row.
 """
 
@@ -13,22 +13,27 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-# Encodings tried in order.
-ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-le", "utf-16-be", "cp1252", "iso-8859-1", "ascii")
+# Encodings tried in order, each only where the outcome begins like markup.
+ENCODINGS = ("utf-8-sig", "utf-16", "utf-16be", "utf-16le", "utf-32", "utf-32be", "utf-32le", "latin-1")
 SCHEMA = "source_id string, position int, guid string, url string, headline string, summary string, content string, published_at string, tags array<string>, error string"
-_DTD = re.compile(r"<!\s*(DOCTYPE|ENTITY)", re.I)
+_DTD = re.compile(r"<!\s*(doctype|entity|element|attlist|notation)\b", re.I)
 _LOCAL = re.compile(r"^\{[^}]*\}")
 
 
+_DECLARED = re.compile(rb"^\s*<\?xml[^>]*\bencoding\s*=\s*[\"']([A-Za-z0-9._-]+)")
+
+
 def decode(raw: bytes) -> str:
-    for name in ENCODINGS:
+    """By the encoding that the document declares, else by the first that gives markup; else with replacement signs."""
+    declared = _DECLARED.match(raw)
+    for name in (*((declared[1].decode(),) if declared else ()), *ENCODINGS):
         try:
             text = raw.decode(name)
-        except UnicodeDecodeError:
+        except (UnicodeError, LookupError):
             continue
-        if "\0" not in text:
+        if "\0" not in text and text.lstrip("\ufeff").strip().startswith("<"):
             return text
-    raise ValueError("undecodable")
+    return raw.decode("utf-8", "replace")
 
 
 def parse(raw: bytes | None) -> list[dict]:
