@@ -117,7 +117,8 @@ def scored(rows: DataFrame, model: residue.Residue, articles: DataFrame, more: D
     without an article by the weights as it reads them; where no model could be fitted, such texts are left out here."""
     if model.weights is not None:
         titles = residue.titles(articles)
-        return rows.join(titles if more is None else titles.join(more, "article_id"), "article_id", "left"), model.weights
+        titles = titles if more is None else titles.join(more, "article_id")
+        return rows.join(titles.hint("shuffle_hash"), "article_id", "left"), model.weights  # the texts need no sort
     left = rows.join(model.cases(), F.col("article_id") == F.col("doc"), "left_anti")
     left = left if more is None else left.join(more, "article_id", "left")
     return left.withColumns({"title": F.lit(None).cast("string"), "status": F.lit(None).cast("int")}), None

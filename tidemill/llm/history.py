@@ -222,7 +222,7 @@ class History:
             mine = [r[0] for r in touched.select(_bucket(key, self.buckets)).distinct().collect()]  # no more than there are buckets
             rows = rows.filter(F.col("bucket").isin(mine))
         rows = rows.drop("batch", "bucket")
-        return rows.join(touched.select(key).distinct(), key, "left_semi")
+        return rows.join(touched.select(key).distinct().hint("shuffle_hash"), key, "left_semi")
 
     def append(self, **tables: DataFrame) -> None:
         """Writes a batch; its marker comes last."""
@@ -270,7 +270,7 @@ class Batch:
         if history and history.batches:
             first = first.withColumn("key", _text_key("text"))
             first = first.join(history.read("keys", first.select("key"), self.few).select("key").distinct(), "key", "left_anti")
-        self.texts = self.scratch.keep(first.select("first", "doc").join(words, "doc").select("first", *(c.split()[0] for c in _OWN.split(", "))))
+        self.texts = self.scratch.keep(first.select("first", "doc").hint("shuffle_hash").join(words, "doc").select("first", *(c.split()[0] for c in _OWN.split(", "))))
 
     def _postings(self, texts: DataFrame) -> DataFrame:
         """chunk, text, w of every chunk of the texts."""
@@ -284,7 +284,7 @@ class Batch:
         if old:
             mine = self.scratch.keep(mine.unionByName(self.history.read("postings", mine.select("chunk"), self.few)))
         counted = mine.groupBy("chunk").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-        look = self.scratch.keep(mine.join(counted, "chunk"))
+        look = self.scratch.keep(mine.join(counted.hint("shuffle_hash"), "chunk"))  # one row a chunk, so the long side needs no sort
         # Crowded texts: of their hot chunks the rarest, all but CROWDED of the bytes.
         hot = look.filter(F.col("df") > HOT).withColumns({"size": _part("w", _SIZE), "total": _part("w", _TOTAL)})
         hot = hot.withColumn("all", F.sum("size").over(Window.partitionBy("text"))).filter(F.col("all") > CROWDED * F.col("total"))

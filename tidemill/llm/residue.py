@@ -244,4 +244,4 @@ def titles(articles: DataFrame) -> DataFrame:
 def inputs(texts: DataFrame, articles: DataFrame) -> DataFrame:
     """doc, host, text, title, status."""
     t = texts.select("article_id", F.col("content_text").alias("text"))
-    return t.join(titles(articles), "article_id", "left").withColumnRenamed("article_id", "doc")
+    return t.join(titles(articles).hint("shuffle_hash"), "article_id", "left").withColumnRenamed("article_id", "doc")
