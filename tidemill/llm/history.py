@@ -222,7 +222,9 @@ class History:
             mine = [r[0] for r in touched.select(_bucket(key, self.buckets)).distinct().collect()]  # no more than there are buckets
             rows = rows.filter(F.col("bucket").isin(mine))
         rows = rows.drop("batch", "bucket")
-        return rows.join(touched.select(key).distinct().hint("shuffle_hash"), key, "left_semi")
+        keys = touched.select(key).distinct()
+        # Chunks are many and short: a hash join without a sort. Keys and texts asked for are few and may be broadcast.
+        return rows.join(keys.hint("shuffle_hash") if name == "postings" else keys, key, "left_semi")
 
     def append(self, **tables: DataFrame) -> None:
         """Writes a batch; its marker comes last."""
