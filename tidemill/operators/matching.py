@@ -2,35 +2,99 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import text
 from tidemill.session import Scratch
 
 
+# Fixed value: how many sets of a token one task meets with all others of that token; more of them are divided.
+CHUNK = 2000
+
+
+def _bits(ids: Column) -> Column:
+    """128 bits, one for each number modulo 128."""
+    word = lambda i: F.aggregate(F.filter(ids, lambda x: x % 128 >= 64 if i else x % 128 < 64), F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
+    return F.struct(word(0).alias("x"), word(1).alias("y"))
+
+
+def common_bits(a: Column, b: Column) -> Column:
+    return F.bit_count(a["x"].bitwiseAND(b["x"])) + F.bit_count(a["y"].bitwiseAND(b["y"]))
+
+
+def numbered(df: DataFrame, key: str, tokens: str, *marks: str, carried: DataFrame | None = None) -> DataFrame:
+    """Sets as k, n (how many tokens), s (numbers of those that other sets have too, rarest first) and bits of s, written to the shared folder.
+
+    ``marks`` name arrays with some of a set's tokens; their numbers and bits come along. So do the columns of ``carried`` (k, ...).
+    Sets that share no token are left out.
+    """
+    sets = df.select(F.col(key).alias("k"), F.array_distinct(tokens).alias("s"), *marks)
+    one = sets.select("k", F.size("s").alias("n"), F.explode("s").alias("t"), *marks)
+    one = one.select("k", "n", "t", *[F.coalesce(F.array_contains(m, F.col("t")), F.lit(False)).alias(m) for m in marks])
+    several = one.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").repartitionByRange("df", "t").sortWithinPartitions("df", "t")
+    ids = several.select("t", F.monotonically_increasing_id().alias("id"))
+    r = one.join(ids, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("id", *marks))).alias("r"))
+    marked = [F.transform(F.filter("r", lambda x, m=m: x[m]), lambda x: x["id"]).alias(m) for m in marks]
+    out = r.select("k", "n", F.col("r.id").alias("s"), *marked)
+    out = out.select("*", _bits(F.col("s")).alias("bits"), *[_bits(F.col(m)).alias(f"{m}_bits") for m in marks])
+    out = out.withColumn("lost", F.size("s") - common_bits(F.col("bits"), F.col("bits")))
+    # Written once: numbers of a second run could differ from those of the first.
+    return Scratch(df.sparkSession, "sets").keep(out.join(carried, "k", "left") if carried is not None else out)
+
+
+def meet(left: DataFrame, right: DataFrame, least: int, once: Callable[[Column, Column], Column]) -> DataFrame:
+    """l, r (rows of ``numbered``) and the numbers they share, for pairs that share at least ``least`` and fulfil ``once``.
+
+    Of two sets that share ``least`` tokens, the rarest shared one is among the |set| - least + 1 rarest of each; only these
+    meet. A pair is given where it meets by its rarest shared token, and counted from the sets that came along, so pairs are
+    neither made distinct nor joined again: what moves is in proportion to the sets. Bits tell most vain meetings apart
+    before; bits that two tokens of a set have in common (``lost``) count as shared.
+    """
+    rows = lambda df, x: df.filter(F.size("s") >= least).select(F.explode(F.slice("s", F.lit(1), F.size("s") - (least - 1))).alias("t"), F.struct("*").alias(x))
+    a, b = rows(left, "l"), rows(right, "r")
+    # At most one row for every CHUNK rows of ``a``.
+    busy = F.broadcast(a.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).filter("parts > 1"))
+    parts = F.coalesce("parts", F.lit(1))
+    a = a.join(busy, "t", "left").select("t", "l", F.pmod(F.xxhash64("l.k"), parts).cast("int").alias("part"))
+    b = b.join(busy, "t", "left").select("t", "r", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    x, y = F.col("l"), F.col("r")
+    met = a.join(b.hint("shuffle_hash"), ["t", "part"]).filter((common_bits(x["bits"], y["bits"]) + F.least(x["lost"], y["lost"]) >= least) & once(x, y))
+    # Exploded, so that what two sets share is computed once and not again for every condition.
+    shared = met.select("t", "l", "r", F.explode(F.array(F.array_intersect(x["s"], y["s"]))).alias("shared"))
+    return shared.filter((F.size("shared") >= least) & (F.col("shared")[0] == F.col("t"))).select("l", "r", "shared")
+
+
 def token_pairs(df: DataFrame, key: str, tokens: str, least: int = 1) -> DataFrame:
-    """a < b and the number of tokens they share, for pairs that share at least ``least``.
+    """a < b and the number of tokens they share, for pairs that share at least ``least``."""
+    sets = numbered(df, key, tokens)
+    met = meet(sets, sets, least, lambda x, y: x["k"] < y["k"])
+    return met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), F.size("shared").alias("shared"), F.least("l.n", "r.n").alias("smaller"))
+
+
+def titles_match(a: Column, b: Column) -> Column:
+    """Whether the tokens of two titles share four, or three where the shorter has no more than four."""
+    shared = F.size(F.array_intersect(a, b))
+    return (shared >= 4) | ((shared >= 3) & (F.least(F.size(a), F.size(b)) <= 4))
+
+
+def title_pairs(df: DataFrame, key: str, title: str, known: DataFrame | None = None) -> DataFrame:
+    """a < b and the number of tokens they share, for titles that match (``titles_match``).
 
-    Of two sets that share ``least`` tokens, one of the |set| - least + 1 rarest tokens of each is shared; only these
-    meet, and the counts are then taken from the sets. Tokens that everything has come last and seldom meet at all.
+    With ``known`` (a < b, a row a pair), also whether the pair is among these; they move with the titles, so the pairs needn't.
     """
-    sets = df.select(F.col(key).alias("k"), F.array_sort(F.array_distinct(tokens)).alias("s")).filter(F.size("s") >= least)
-    one = sets.select("k", F.explode("s").alias("t"), F.size("s").alias("n"))
-    df_ = one.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    ranked = one.join(df_, "t", "left").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "t"))).alias("r"))
-    prefix = ranked.select("k", F.explode(F.slice("r", F.lit(1), F.col("n") - least + 1)).alias("x")).filter("x.df > 1").select("k", F.col("x.t").alias("t"))
-    a, b = prefix.select("t", F.col("k").alias("a")), prefix.select("t", F.col("k").alias("b"))
-    met = a.join(b, "t").filter("a < b").select("a", "b").distinct()
-    left, right = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    counted = met.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("shared"), F.least(F.size("sa"), F.size("sb")).alias("smaller"))
-    return counted.filter(F.col("shared") >= least)
-
-
-def title_pairs(df: DataFrame, key: str, title: str) -> DataFrame:
-    """Titles that share four words, or three where the shorter has no more than four."""
     t = df.select(key, text.title_tokens(F.col(title)).alias("tokens"))
-    return token_pairs(t, key, "tokens", 3).filter("shared >= 4 or smaller <= 4").select("a", "b", "shared")
+    with_ = known.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("known")) if known is not None else None
+    sets = numbered(t, key, "tokens", carried=with_)
+    long = sets.filter("n > 4")
+    four = meet(long, long, 4, lambda x, y: x["k"] < y["k"])
+    three = meet(sets.filter("n <= 4"), sets, 3, lambda x, y: (x["k"] < y["k"]) | (y["n"] > 4))
+    met, first = four.union(three), F.col("l.k") < F.col("r.k")
+    a, b = F.least("l.k", "r.k"), F.greatest("l.k", "r.k")
+    more = [F.coalesce(F.array_contains(F.when(first, F.col("l.known")).otherwise(F.col("r.known")), b), F.lit(False)).alias("known")] if known is not None else []
+    return met.select(a.alias("a"), b.alias("b"), F.size("shared").alias("shared"), *more)
 
 
 def disjoint_round(pairs: DataFrame, a: str, b: str, rank: str) -> DataFrame:
