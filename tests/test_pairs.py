@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from tidemill.operators import matching
 
 
@@ -17,7 +19,11 @@ def shuffled(spark, run):
         return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
     before = written()
-    return run(), written() - before
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    try:
+        return run(), written() - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def titles(n):
@@ -57,3 +63,21 @@ def test_numbers_beyond_the_bits(spark):
     df = spark.createDataFrame([(k, sorted(s)) for k, s in sets.items()], "k int, t array<string>")
     got = {(r["a"], r["b"]): r["shared"] for r in matching.token_pairs(df, "k", "t", 4).collect()}
     assert got == {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) >= 4}
+
+
+def test_cohesion_pairs_do_not_move(spark, tmp_path):
+    from tidemill.functions import cohesion
+    from tidemill.plans import events
+
+    rng = random.Random(5)
+    names = ["Zorby", "zorby", "Kadin", "KADIN", "people", "Crisis", "war", "2024", "Q4", "Ferry", "ferry", "storm"]
+    rows = [(i, f"a{i}", f"e{i:03d}", f"Harbour bridge waits {i % 9 + 100} under {i % 7 + 300} lamps") for i in range(400)]
+    rows += [(i, f"a{i}", f"e{i:03d}", " ".join(rng.sample(names, rng.randint(2, 5)))) for i in range(400, 460)]
+    df = spark.createDataFrame(rows, "ingest_seq bigint, article_id string, event_id string, headline string")
+    df.write.parquet(f"{tmp_path}/articles.parquet")
+    got, moved = shuffled(spark, lambda: sorted(map(tuple, events.d_cohesion(spark, str(tmp_path)).collect())))
+    w = df.select("event_id", cohesion.words(F.col("headline")).alias("w"))
+    x, y = w.selectExpr("event_id a", "w wa"), w.selectExpr("event_id b", "w wb")
+    want = x.join(y, F.col("a") < F.col("b")).select("a", "b", cohesion.strength(F.col("wa"), F.col("wb")).alias("strength")).filter("strength > 0")
+    assert got == sorted(map(tuple, want.collect())) and {s for _, _, s in got} == {1, 2} and len(got) > 400 * 399 / 2
+    assert moved < 50 * len(rows)

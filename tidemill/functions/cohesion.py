@@ -31,5 +31,9 @@ def strength(a: Column, b: Column) -> Column:
     shared = F.array_intersect(plain(a), plain(b))
     special = F.size(F.filter(shared, lambda w: ~w.isin(*GENERIC)))
     anchor = F.size(F.array_intersect(anchors(a), anchors(b)))
-    n = F.size(shared)
+    return strength_of(F.size(shared), special, anchor)
+
+
+def strength_of(n: Column, special: Column, anchor: Column) -> Column:
+    """The strength from the number of shared words, of those that aren't generic, and of anchors."""
     return F.when((n < 2) | (special == 0), 0).when(n >= 3, 2).when((anchor >= 2) | ((anchor == 1) & (special == 2)), 1).otherwise(0)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,17 +10,23 @@ from tidemill.session import Scratch
 
 
 # Fixed value: how many sets of a token one task meets with all others of that token; more of them are divided.
-CHUNK = 2000
+CHUNK = 1000
+
+
+def _bits(ids: str) -> list[Column]:
+    """256 bits in four columns, one for each number modulo 256; flat, for a join's condition reads nested ones slowly."""
+    word = lambda i: F.aggregate(F.filter(ids, lambda x: F.floor(x % 256 / 64) == i), F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
+    return [word(i).alias(f"{ids}_{i}") for i in range(4)]
 
 
-def _bits(ids: Column) -> Column:
-    """128 bits, one for each number modulo 128."""
-    word = lambda i: F.aggregate(F.filter(ids, lambda x: x % 128 >= 64 if i else x % 128 < 64), F.lit(0).cast("bigint"), lambda m, x: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), (x % 64).cast("int"))))
-    return F.struct(word(0).alias("x"), word(1).alias("y"))
+def common_bits(ids: str, a: str = "l_", b: str = "r_") -> Column:
+    n = [F.bit_count(F.col(f"{a}{ids}_{i}").bitwiseAND(F.col(f"{b}{ids}_{i}"))) for i in range(4)]
+    return n[0] + n[1] + n[2] + n[3]
 
 
-def common_bits(a: Column, b: Column) -> Column:
-    return F.bit_count(a["x"].bitwiseAND(b["x"])) + F.bit_count(a["y"].bitwiseAND(b["y"]))
+def enough_bits(least: int) -> Column:
+    """False only where less than ``least`` are shared; two tokens of a set with a bit in common (``lost``) count as shared."""
+    return common_bits("s") + F.least("l_lost", "r_lost") >= least
 
 
 def numbered(df: DataFrame, key: str, tokens: str, *marks: str, carried: DataFrame | None = None) -> DataFrame:
@@ -37,41 +41,41 @@ def numbered(df: DataFrame, key: str, tokens: str, *marks: str, carried: DataFra
     several = one.groupBy("t").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").repartitionByRange("df", "t").sortWithinPartitions("df", "t")
     ids = several.select("t", F.monotonically_increasing_id().alias("id"))
     r = one.join(ids, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("id", *marks))).alias("r"))
-    marked = [F.transform(F.filter("r", lambda x, m=m: x[m]), lambda x: x["id"]).alias(m) for m in marks]
-    out = r.select("k", "n", F.col("r.id").alias("s"), *marked)
-    out = out.select("*", _bits(F.col("s")).alias("bits"), *[_bits(F.col(m)).alias(f"{m}_bits") for m in marks])
-    out = out.withColumn("lost", F.size("s") - common_bits(F.col("bits"), F.col("bits")))
+    marked = lambda m: F.transform(F.filter("r", lambda x: x[m]), lambda x: x["id"]).alias(m)
+    out = r.select("k", "n", F.col("r.id").alias("s"), *map(marked, marks))
+    out = out.select("*", *[w for m in ("s", *marks) for w in _bits(m)])
+    out = out.withColumn("lost", F.size("s") - common_bits("s", "", ""))
     # Written once: numbers of a second run could differ from those of the first.
     return Scratch(df.sparkSession, "sets").keep(out.join(carried, "k", "left") if carried is not None else out)
 
 
-def meet(left: DataFrame, right: DataFrame, least: int, once: Callable[[Column, Column], Column]) -> DataFrame:
-    """l, r (rows of ``numbered``) and the numbers they share, for pairs that share at least ``least`` and fulfil ``once``.
+def meet(left: DataFrame, right: DataFrame, least: int, once: Column) -> DataFrame:
+    """l_*, r_* (the columns of ``numbered``) and the numbers they share, for pairs that share at least ``least`` and fulfil ``once``.
 
     Of two sets that share ``least`` tokens, the rarest shared one is among the |set| - least + 1 rarest of each; only these
     meet. A pair is given where it meets by its rarest shared token, and counted from the sets that came along, so pairs are
-    neither made distinct nor joined again: what moves is in proportion to the sets. Bits tell most vain meetings apart
-    before; bits that two tokens of a set have in common (``lost``) count as shared.
+    neither made distinct nor joined again: what moves is in proportion to the sets. Bits tell most vain meetings apart before.
     """
-    rows = lambda df, x: df.filter(F.size("s") >= least).select(F.explode(F.slice("s", F.lit(1), F.size("s") - (least - 1))).alias("t"), F.struct("*").alias(x))
-    a, b = rows(left, "l"), rows(right, "r")
+    rows = lambda df, x: df.filter(F.size("s") >= least).select(F.explode(F.slice("s", F.lit(1), F.size("s") - (least - 1))).alias("t"), *[F.col(c).alias(x + c) for c in df.columns])
+    a, b = rows(left, "l_"), rows(right, "r_")
     # At most one row for every CHUNK rows of ``a``.
     busy = F.broadcast(a.groupBy("t").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).filter("parts > 1"))
     parts = F.coalesce("parts", F.lit(1))
-    a = a.join(busy, "t", "left").select("t", "l", F.pmod(F.xxhash64("l.k"), parts).cast("int").alias("part"))
-    b = b.join(busy, "t", "left").select("t", "r", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    x, y = F.col("l"), F.col("r")
-    met = a.join(b.hint("shuffle_hash"), ["t", "part"]).filter((common_bits(x["bits"], y["bits"]) + F.least(x["lost"], y["lost"]) >= least) & once(x, y))
+    a = a.join(busy, "t", "left").withColumn("part", F.pmod(F.xxhash64("l_k"), parts).cast("int")).drop("parts")
+    b = b.join(busy, "t", "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    # As much work as there are meetings, not bytes: partitions that aren't put together for being small.
+    tasks = 2 * int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.repartition(tasks, "t", "part").join(b.repartition(tasks, "t", "part").hint("shuffle_hash"), ["t", "part"]).filter(enough_bits(least) & once)
     # Exploded, so that what two sets share is computed once and not again for every condition.
-    shared = met.select("t", "l", "r", F.explode(F.array(F.array_intersect(x["s"], y["s"]))).alias("shared"))
-    return shared.filter((F.size("shared") >= least) & (F.col("shared")[0] == F.col("t"))).select("l", "r", "shared")
+    shared = met.withColumn("shared", F.explode(F.array(F.array_intersect("l_s", "r_s"))))
+    return shared.filter((F.size("shared") >= least) & (F.col("shared")[0] == F.col("t"))).drop("t", "part")
 
 
 def token_pairs(df: DataFrame, key: str, tokens: str, least: int = 1) -> DataFrame:
     """a < b and the number of tokens they share, for pairs that share at least ``least``."""
     sets = numbered(df, key, tokens)
-    met = meet(sets, sets, least, lambda x, y: x["k"] < y["k"])
-    return met.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"), F.size("shared").alias("shared"), F.least("l.n", "r.n").alias("smaller"))
+    met = meet(sets, sets, least, F.col("l_k") < F.col("r_k"))
+    return met.select(F.col("l_k").alias("a"), F.col("r_k").alias("b"), F.size("shared").alias("shared"), F.least("l_n", "r_n").alias("smaller"))
 
 
 def titles_match(a: Column, b: Column) -> Column:
@@ -89,11 +93,12 @@ def title_pairs(df: DataFrame, key: str, title: str, known: DataFrame | None = N
     with_ = known.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("known")) if known is not None else None
     sets = numbered(t, key, "tokens", carried=with_)
     long = sets.filter("n > 4")
-    four = meet(long, long, 4, lambda x, y: x["k"] < y["k"])
-    three = meet(sets.filter("n <= 4"), sets, 3, lambda x, y: (x["k"] < y["k"]) | (y["n"] > 4))
-    met, first = four.union(three), F.col("l.k") < F.col("r.k")
-    a, b = F.least("l.k", "r.k"), F.greatest("l.k", "r.k")
-    more = [F.coalesce(F.array_contains(F.when(first, F.col("l.known")).otherwise(F.col("r.known")), b), F.lit(False)).alias("known")] if known is not None else []
+    first = F.col("l_k") < F.col("r_k")
+    four = meet(long, long, 4, first)
+    three = meet(sets.filter("n <= 4"), sets, 3, first | (F.col("r_n") > 4))
+    met = four.unionByName(three)
+    a, b = F.least("l_k", "r_k"), F.greatest("l_k", "r_k")
+    more = [F.coalesce(F.array_contains(F.when(first, F.col("l_known")).otherwise(F.col("r_known")), b), F.lit(False)).alias("known")] if known is not None else []
     return met.select(a.alias("a"), b.alias("b"), F.size("shared").alias("shared"), *more)
 
 

@@ -77,11 +77,18 @@ pair AS (SELECT x.event_id AS a, y.event_id AS b, count(*) AS n, count(*) FILTER
 
 @query(f"WITH {_COHESION}, s AS (SELECT a, b, CASE WHEN special = 0 THEN 0 WHEN n >= 3 THEN 2 WHEN anchors >= 2 OR (anchors = 1 AND special = 2) THEN 1 ELSE 0 END AS strength FROM pair) SELECT a, b, strength FROM s WHERE strength > 0".replace("\\\\", "\\"))
 def d_cohesion(spark: SparkSession, d: str) -> DataFrame:
-    """Event pairs whose titles hold together, with the strength; candidates share two words of their titles."""
+    """Event pairs whose titles hold together, with the strength; they meet by the words of their titles and don't move as pairs."""
     w = base.event_titles(spark, d).select("event_id", cohesion.words(F.col("title")).alias("w"))
-    pairs = matching.token_pairs(w.select("event_id", F.transform("w", lambda x: x["w"]).alias("t")), "event_id", "t", 2).select("a", "b")
-    x, y = w.select(F.col("event_id").alias("a"), F.col("w").alias("wa")), w.select(F.col("event_id").alias("b"), F.col("w").alias("wb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", cohesion.strength(F.col("wa"), F.col("wb")).alias("strength")).filter("strength > 0")
+    only = lambda f: F.array_distinct(F.transform(F.filter("w", f), lambda x: x["w"]))
+    t = w.select("event_id", F.array_distinct(F.col("w.w")).alias("t"), only(lambda x: x["anchor"]).alias("anchors"), only(lambda x: x["w"].isin(*cohesion.GENERIC)).alias("generic"))
+    sets = matching.numbered(t, "event_id", "t", "anchors", "generic")
+    # Two words hold nothing together unless an anchor of both is among them.
+    may = matching.enough_bits(3) | (matching.common_bits("anchors") > 0)
+    met = matching.meet(sets, sets, 2, may & (F.col("l_k") < F.col("r_k")))
+    both = lambda x, y: F.when((F.size(x) > 0) & (F.size(y) > 0), F.size(F.array_intersect(x, y))).otherwise(0)
+    n = F.size("shared")
+    strength = cohesion.strength_of(n, n - both("shared", "l_generic"), both("l_anchors", "r_anchors"))
+    return met.select(F.col("l_k").alias("a"), F.col("r_k").alias("b"), F.explode(F.array(strength)).alias("strength")).filter("strength > 0")
 
 
 @query(f"""WITH {base._FIRST}, p AS (SELECT coalesce(f.default_category, 'none') AS category, a.event_id, split_part(a.source_name, ' - ', 1) AS publisher FROM first a JOIN feeds f USING (source_id) WHERE event_id IS NOT NULL),
