@@ -81,3 +81,17 @@ def test_cohesion_pairs_do_not_move(spark, tmp_path):
     want = x.join(y, F.col("a") < F.col("b")).select("a", "b", cohesion.strength(F.col("wa"), F.col("wb")).alias("strength")).filter("strength > 0")
     assert got == sorted(map(tuple, want.collect())) and {s for _, _, s in got} == {1, 2} and len(got) > 400 * 399 / 2
     assert moved < 50 * len(rows)
+
+
+def test_candidates_do_not_move(spark, tmp_path):
+    from tidemill.plans import articles
+
+    rows = [(i, f"a{i}", k, t) for i, (k, t) in enumerate([*titles(300), ("x1", "one two three"), ("x2", "three two one four"), ("x3", "one"), ("x4", "two")])]
+    spark.createDataFrame(rows, "ingest_seq bigint, article_id string, event_id string, headline string").write.parquet(f"{tmp_path}/articles.parquet")
+    reviews = [("e0002", "e0001"), ("e0001", "e0002"), ("e0007", "e0299"), ("x2", "x1"), ("x3", "x4"), ("x4", "x3"), ("e0003", "gone"), ("gone", "away"), ("x3", "x3"), (None, "x3")]
+    spark.createDataFrame(reviews, "event_a string, event_b string").write.parquet(f"{tmp_path}/deduplication_reviews.parquet")
+    got, moved = shuffled(spark, lambda: sorted((r["a"], r["b"], r["priority"], r["reasons"]) for r in articles.h_candidate_union(spark, str(tmp_path)).collect()))
+    r = {tuple(sorted(x)) for x in reviews if None not in x and x[0] != x[1]}
+    t = {*itertools.combinations([k for k, _ in titles(300)], 2), ("x1", "x2")}
+    assert got == sorted((a, b, 4 if (a, b) in t else 3, ((a, b) in t) + ((a, b) in r)) for a, b in t | r)
+    assert moved < 50 * len(rows)

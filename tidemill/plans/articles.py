@@ -302,9 +302,13 @@ r AS (SELECT least(event_a, event_b) AS a, greatest(event_a, event_b) AS b, 3 AS
 SELECT a, b, max(priority) AS priority, count(*) AS reasons FROM (SELECT * FROM t UNION ALL SELECT DISTINCT * FROM r) GROUP BY ALL""")
 def h_candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """Candidate pairs of all sources, each once with its highest priority."""
-    t = matching.title_pairs(event_titles(spark, d), "event_id", "title").select("a", "b", F.lit(4).alias("priority"))
-    r = table(spark, d, "deduplication_reviews").filter("event_a != event_b").select(F.least("event_a", "event_b").alias("a"), F.greatest("event_a", "event_b").alias("b"), F.lit(3).alias("priority")).distinct()
-    return t.unionByName(r).groupBy("a", "b").agg(F.max("priority").alias("priority"), F.count(F.lit(1)).alias("reasons"))
+    titles = event_titles(spark, d)
+    r = table(spark, d, "deduplication_reviews").filter("event_a != event_b").select(F.least("event_a", "event_b").alias("a"), F.greatest("event_a", "event_b").alias("b")).distinct()
+    t = matching.title_pairs(titles, "event_id", "title", known=r).select("a", "b", F.lit(4).alias("priority"), F.when(F.col("known"), 2).otherwise(1).cast("bigint").alias("reasons"))
+    # The reviewed pairs are few: whether their titles match too is told from the titles, so that the matching pairs needn't move.
+    w = lambda k: titles.select(F.col("event_id").alias(k), text.title_tokens(F.col("title")).alias(f"w{k}"))
+    rest = r.join(w("a"), "a", "left").join(w("b"), "b", "left").filter(~F.coalesce(matching.titles_match(F.col("wa"), F.col("wb")), F.lit(False)))
+    return t.unionByName(rest.select("a", "b", F.lit(3).alias("priority"), F.lit(1).cast("bigint").alias("reasons")))
 
 
 @query("""WITH c AS (SELECT least(event_a, event_b) AS a, greatest(event_a, event_b) AS b, prompt_version, should_merge, reviewed_at FROM deduplication_reviews WHERE event_a <> event_b)
